@@ -63,16 +63,21 @@ class Schemes:
     @lru_cache(maxsize=None)  # noqa: B019
     def segments(self, k: int) -> tuple[np.ndarray, bool, int]:
         """(inner bounds of segments in the hash range, whether the first is the wide one, x)."""
-        most = self.top(k) * (self.den - self.num) // self.num  # H
+        most = self.most(k)
         if most == 0:
             return np.empty(0, np.uint64), False, 0
-        x = 1 + most // 10
+        x = self.skip(k)
         weights = [2] + [1] * (most - 1 + x)
         ends = np.cumsum(weights)[:-1].tolist()
         return np.array([(e << 64) // sum(weights) for e in ends], np.uint64), True, x
 
+    def most(self, k: int) -> int:
+        """H: elements in which two similar sets differ at most, the smaller in band k."""
+        return self.top(k) * (self.den - self.num) // self.num
+
     def skip(self, k: int) -> int:
-        return self.segments(k)[2]
+        """x: whole segments that a set of band k may leave out."""
+        return 1 + self.most(k) // 10 if self.most(k) else 0
 
     def similar(self, n: np.ndarray, m: np.ndarray, difference: np.ndarray) -> np.ndarray:
         """Whether sets of sizes n and m that differ in so many elements are similar enough: |n & m| = (n + m - d) / 2."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm import mixing, packing, secret_scan, token_output
+from fernweave.llm import jaccard_join, mixing, packing, secret_scan, token_output, toxicity
 from fernweave.llm._common import ship, small_batches, table
 
 
@@ -31,12 +31,28 @@ def op3_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_matrices(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    small_batches(spark, 1000)
+    found = jaccard_join.similar_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    small_batches(spark, 1000)
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select(F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3, seed=17)
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_token_matrices, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_token_matrices, op5_jaccard_join, op8_toxicity, op10_mixing)}
 
 OP10_SQL = r"""
 WITH RECURSIVE sized AS (

@@ -81,7 +81,7 @@ def shingle_sets(texts: list[str | None], words: int, seed: int = 1) -> Iterator
             if last - first >= words:
                 yield np.unique(run[first : last - words + 1])
             elif last > first:
-                short = (word[first:last] * weights[: last - first]).sum(dtype=np.uint64) + _U(last - first) * weights[words]
-                yield mix(np.array([short], np.uint64))
+                short = (word[first:last] * weights[: last - first]).sum(keepdims=True, dtype=np.uint64)
+                yield mix(short + weights[words:] * _U(last - first))
             else:
                 yield np.empty(0, np.uint64)
