@@ -10,6 +10,7 @@ trained on pages that :func:`practice_page` makes up, by a fixed seed: it depend
 from __future__ import annotations
 
 import html
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from fernweave.llm.shingles import word_hashes
+
 PATHS, WORDS, PATH_SIZE, WORD_SIZE, FIGURES, HIDDEN = 512, 512, 16, 6, 6, 16
 
 # Elements that start and end blocks, that hold no rendered text, that have no end tag, and that end an open one.
@@ -159,14 +162,31 @@ def path_buckets(path: str) -> tuple[int, ...]:
     return tuple(sorted(_bucket(x, PATHS) for x in marks))
 
 
-@lru_cache(maxsize=100_000)
-def word_bucket(word: str) -> int:
-    return _bucket(word.lower().strip(".,;:!?\"'()"), WORDS)
+def _word_table() -> tuple[np.ndarray, np.ndarray]:
+    """Values of bytes for word hashes, either case alike, and which bytes part words: ASCII but letters and digits."""
+    value = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
+    parts = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+    value[65:91] = value[97:123]
+    value[parts] = 0
+    return value, parts
+
+
+_WORD_VALUES, _WORD_PARTS = _word_table()
 
 
 def _figures(text: str, linked: int) -> tuple[float, ...]:
     n = len(text)
-    return (min(1.0, np.log1p(n) / 8), min(1.0, linked / n), min(1.0, (text.count(".") + text.count(",")) / 10), text[-1] in ".!?…", text[0].isupper(), min(1.0, text.count(" ") / 20))
+    return (min(1.0, math.log1p(n) / 8), min(1.0, linked / n), min(1.0, (text.count(".") + text.count(",")) / 10), text[-1] in ".!?…", text[0].isupper(), min(1.0, text.count(" ") / 20))
+
+
+def encode(blocks: list[tuple[str, str, int]]) -> tuple[np.ndarray, ...]:
+    """Blocks as arrays: buckets of path marks, how many each block has, the same for words, and figures."""
+    paths = [path_buckets(b[1]) for b in blocks]
+    raw = [b[0].encode("utf-8", "surrogatepass") for b in blocks]
+    hashed, starts = word_hashes(np.frombuffer(b" ".join(raw) + b" ", np.uint8), _WORD_VALUES, _WORD_PARTS)
+    bounds = np.searchsorted(starts, np.cumsum([0] + [len(r) + 1 for r in raw]))
+    marks = np.fromiter((i for x in paths for i in x), np.int32)
+    return marks, np.array([len(x) for x in paths]), (hashed % np.uint64(WORDS)).astype(np.int32), np.diff(bounds), np.array([_figures(b[0], b[2]) for b in blocks], np.float32).reshape(-1, FIGURES)
 
 
 class Labeller:
@@ -182,25 +202,19 @@ class Labeller:
             self.p["c" + side] = np.concatenate([np.ones(HIDDEN), np.zeros(3 * HIDDEN)])
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def inputs(self, blocks: list[tuple[str, str, int]]) -> tuple[np.ndarray, tuple]:
-        """Vectors of blocks, and what the gradient of the two tables needs."""
-        paths = [path_buckets(b[1]) for b in blocks]
-        words = [[word_bucket(w) for w in b[0].split(" ")] for b in blocks]
-        at = []
-        for lists, table in ((paths, "path"), (words, "word")):
-            counts = np.array([len(x) for x in lists])
-            flat = np.fromiter((i for x in lists for i in x), np.int64, counts.sum())
-            starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-            sums = np.zeros((len(lists), self.p[table].shape[1]), np.float32)
+    def inputs(self, coded: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, tuple]:
+        """Vectors of the blocks of encoded pages, and what the gradients of the two tables need."""
+        marks, marked, words, worded, figures = (np.concatenate(x) for x in zip(*coded, strict=True))
+        sums, tables = [], []
+        for flat, counts, name in ((marks, marked, "path"), (words, worded, "word")):
             full = counts > 0
+            own = np.zeros((len(counts), self.p[name].shape[1]), np.float32)
             if full.any():
-                sums[full] = np.add.reduceat(self.p[table][flat], starts[full])
-            scale = (1 / np.maximum(counts, 1) if table == "word" else np.ones(len(lists)))[:, None].astype(np.float32)
-            at.append((flat, np.repeat(np.arange(len(lists)), counts), scale))
-            lists.clear()
-            at[-1] += (sums * scale,)
-        figures = np.array([_figures(b[0], b[2]) for b in blocks], np.float32).reshape(-1, FIGURES)
-        return np.concatenate([at[0][3], at[1][3], figures], axis=1), (at[0][:3], at[1][:3])
+                own[full] = np.add.reduceat(self.p[name][flat], (np.cumsum(counts) - counts)[full])
+            scale = (1 / np.maximum(counts, 1) if name == "word" else np.ones(len(counts)))[:, None].astype(np.float32)
+            sums.append(own * scale)
+            tables.append((flat, counts, scale))
+        return np.concatenate([*sums, figures], axis=1), tuple(tables)
 
     def _run(self, x: np.ndarray, mask: np.ndarray, side: str, keep: list | None) -> np.ndarray:
         """Hidden states [time, page, HIDDEN] of one direction; x and mask run in that direction."""
@@ -255,9 +269,10 @@ class Labeller:
         n = np.array(lengths)[None]
         return a[np.where(t < n, n - 1 - t, t), np.arange(a.shape[1])[None]]
 
-    def logits(self, pages: list[list[tuple[str, str, int]]], labels: list[np.ndarray] | None = None, grads: dict | None = None) -> list[np.ndarray]:
-        lengths = [len(p) for p in pages]
-        flat, tables = self.inputs([b for p in pages for b in p])
+    def logits(self, pages: list[tuple[np.ndarray, ...]], labels: list[np.ndarray] | None = None, grads: dict | None = None) -> list[np.ndarray]:
+        """A figure for each block of each encoded page, over 0 where it is of the article; with labels also gradients."""
+        lengths = [len(p[-1]) for p in pages]
+        flat, tables = self.inputs(pages)
         x, mask = self._laid(flat, lengths)
         back = self._turn(x, lengths)
         kept: tuple[list, list] | tuple[None, None] = ([], []) if grads is not None else (None, None)
@@ -275,11 +290,11 @@ class Labeller:
             dx = d[:, :, 2 * HIDDEN :] + self._back(d[:, :, :HIDDEN], x, mask, "f", kept[0], grads)
             dx = dx + self._turn(self._back(self._turn(d[:, :, HIDDEN : 2 * HIDDEN], lengths), back, mask, "b", kept[1], grads), lengths)
             own = dx.transpose(1, 0, 2)[mask.T]
-            for (which, owner, scale), name, cut in zip(tables, ("path", "word"), (slice(0, PATH_SIZE), slice(PATH_SIZE, PATH_SIZE + WORD_SIZE)), strict=True):
-                np.add.at(grads[name], which, (own[:, cut] * scale)[owner])
+            for (which, counts, scale), name, cut in zip(tables, ("path", "word"), (slice(0, PATH_SIZE), slice(PATH_SIZE, PATH_SIZE + WORD_SIZE)), strict=True):
+                np.add.at(grads[name], which, np.repeat(own[:, cut] * scale, counts, axis=0))
         return [z[:n, k] for k, n in enumerate(lengths)]
 
-    def fit(self, pages: list[list[tuple[str, str, int]]], labels: list[np.ndarray], rounds: int, rate: float, seed: int) -> None:
+    def fit(self, pages: list[tuple[np.ndarray, ...]], labels: list[np.ndarray], rounds: int, rate: float, seed: int) -> None:
         """Adam over shuffled batches of pages."""
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -414,7 +429,7 @@ def practice_page(rng: np.random.Generator) -> tuple[str, dict[str, float]]:
 _trained: dict[tuple, Labeller] = {}
 
 
-def trained_labeller(pages: int = 1500, rounds: int = 7, seed: int = 11) -> Labeller:
+def trained_labeller(pages: int = 1000, rounds: int = 8, seed: int = 11) -> Labeller:
     """The labeller, trained on made-up pages; once in a process. The same seed gives the same network."""
     key = pages, rounds, seed
     if key not in _trained:
@@ -423,7 +438,7 @@ def trained_labeller(pages: int = 1500, rounds: int = 7, seed: int = 11) -> Labe
         for _ in range(pages):
             page, truth = practice_page(rng)
             own = leaf_blocks(page)
-            blocks.append(own)
+            blocks.append(encode(own))
             labels.append(np.array([truth.get(b[0], 0.0) for b in own], np.float32))
         model = Labeller(seed)
         model.fit(blocks, labels, rounds, 0.01, seed)
@@ -439,10 +454,11 @@ def extract_texts(pages: list[str | None], model: Labeller) -> list[str]:
     group: list[int] = []
 
     def run() -> None:
-        for k, z in zip(group, model.logits([blocks[k] for k in group]), strict=True):
+        for k, z in zip(group, model.logits([coded.pop(k) for k in group]), strict=True):
             texts[k] = "\n".join(b[0] for b, keep in zip(blocks[k], z > 0, strict=True) if keep)
         group.clear()
 
+    coded = {k: encode(blocks[k]) for k in order}
     for k in order:
         if group and (len(group) >= 256 or len(blocks[k]) * (len(group) + 1) > 16_384 or len(blocks[k]) > 1.3 * len(blocks[group[0]]) + 4):
             run()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm import jaccard_join, mixing, packing, secret_scan, token_output, toxicity
+from fernweave.llm import html_text, jaccard_join, mixing, packing, secret_scan, token_output, toxicity, warc
 from fernweave.llm._common import ship, small_batches, table
 
 
@@ -31,6 +31,13 @@ def op3_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_matrices(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    small_batches(spark, 500)
+    read = warc.archive_round_trip(spark, table(spark, sf_dir, "pages"), least_bytes=0)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     small_batches(spark, 1000)
@@ -38,6 +45,12 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    small_batches(spark, 500)
+    return html_text.main_texts(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     small_batches(spark, 1000)
@@ -52,7 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_token_matrices, op5_jaccard_join, op8_toxicity, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_token_matrices, op4_warc, op5_jaccard_join, op7_html_text, op8_toxicity, op10_mixing)}
 
 OP10_SQL = r"""
 WITH RECURSIVE sized AS (

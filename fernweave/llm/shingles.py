@@ -42,6 +42,15 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def word_hashes(b: np.ndarray, value: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of each word of some bytes that end in white space; equal words have equal hashes."""
+    power, inverse = _powers(max(21, len(b).bit_length()))
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space[b]]).astype(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[b] * power[: len(b)], dtype=np.uint64)])
+    return mix((total[ends] - total[starts]) * inverse[starts]), starts
+
+
 def _chunks(texts: list[str | None]) -> Iterator[list[bytes]]:
     held: list[bytes] = []
     size = 0
@@ -66,12 +75,7 @@ def shingle_sets(texts: list[str | None], words: int, seed: int = 1) -> Iterator
     weights = np.random.default_rng(seed + 1).integers(1, 1 << 63, words + 1, dtype=np.uint64) * _U(2) + _U(1)
     for raw in _chunks(texts):
         b = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-        power, inverse = _powers(max(21, len(b).bit_length()))
-        is_space = space[b]
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], is_space]).astype(np.int8)))
-        starts, ends = edge[::2], edge[1::2]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[b] * power[: len(b)], dtype=np.uint64)])
-        word = mix((total[ends] - total[starts]) * inverse[starts])
+        word, starts = word_hashes(b, value, space)
         run = np.zeros(max(0, len(word) - words + 1), np.uint64)
         for j in range(words):
             run += word[j : j + len(run)] * weights[j]
