@@ -404,3 +404,14 @@ def similar_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     whole = whole.join(smallest, "root").select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), "component_id")
     empty = rows.where("cid is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.col("doc_id").alias("component_id"))
     return whole.union(empty)
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` but for those linked to a document with a smaller id, with all columns as they are.
+
+    Documents without words are linked with nothing and stay. Rows are told apart by id: rows that share an id stay or
+    go together and stay if one of them is to stay; rows without an id stay.
+    """
+    found = similar_components(docs, words, num, den, id_col, text_col)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs[f"`{id_col}`"] == kept["kept_id"], "left_semi").unionByName(docs.where(docs[f"`{id_col}`"].isNull()))

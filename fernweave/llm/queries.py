@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm import html_text, jaccard_join, mixing, packing, secret_scan, token_output, toxicity, warc
+from fernweave.llm import html_text, jaccard_join, max_score, mixing, packing, secret_scan, token_output, toxicity, vantage_points, warc
 from fernweave.llm._common import ship, small_batches, table
 
 
@@ -45,6 +45,12 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op6_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    small_batches(spark, 2000)
+    return vantage_points.nearest_neighbours(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20, factor=3.0)
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     small_batches(spark, 500)
@@ -60,12 +66,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    small_batches(spark, 2000)
+    return max_score.exact_top_k(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10, scale=1024)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3, seed=17)
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_token_matrices, op4_warc, op5_jaccard_join, op7_html_text, op8_toxicity, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_token_matrices, op4_warc, op5_jaccard_join, op6_vantage_points, op7_html_text, op8_toxicity, op9_max_score, op10_mixing)}
 
 OP10_SQL = r"""
 WITH RECURSIVE sized AS (
@@ -99,4 +111,18 @@ SELECT doc_id, size, source_size, target,
 FROM placed JOIN targets USING (k)
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_mixing": OP10_SQL}
+OP9_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM (SELECT * FROM whole WHERE vec_id % 100 = 0) q JOIN whole c ON q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_max_score": OP9_SQL, "op10_mixing": OP10_SQL}

@@ -188,11 +188,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(scan, SCAN_SCHEMA + kept)
 
 
-def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_bits: float = LEAST_BITS, words: tuple[str, ...] = tuple(COMMON)) -> DataFrame:
+def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_bits: float = LEAST_BITS, words: tuple[str, ...] = tuple(COMMON), length_col: str | None = None) -> DataFrame:
     """The rows of ``docs`` with every secret span of the text replaced by ``[kind]``; nothing is dropped.
 
     Overlapping spans are replaced as one, under the kind of the first. Texts without spans, null texts and all other
-    columns stay as they are.
+    columns stay as they are, but for ``length_col``: there changed rows get the code points of their new text.
     """
     ranks = {w: k for k, w in enumerate(words, 1)}
     at = docs.columns.index(text_col)
@@ -206,6 +206,10 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if changed:
                 values = [changed.get(i, x) for i, x in enumerate(text.to_pylist())]
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(values, text.type))
+                if length_col is not None:
+                    k = batch.schema.names.index(length_col)
+                    lengths = [len(changed[i]) if i in changed else x for i, x in enumerate(batch.column(k).to_pylist())]
+                    batch = batch.set_column(k, batch.schema.field(k), pa.array(lengths, batch.column(k).type))
             yield batch
 
     return docs.mapInArrow(redact, docs.schema)
