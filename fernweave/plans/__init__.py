@@ -1,0 +1,6 @@
+"""The registered queries and their SQL."""
+
+from fernweave.plans import campaign, performance, records
+
+QUERIES = {**campaign.QUERIES, **performance.QUERIES, **records.QUERIES}
+ORACLE_SQL = {**campaign.ORACLE_SQL, **performance.ORACLE_SQL, **records.ORACLE_SQL}
