@@ -48,7 +48,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     small_batches(spark, 2000)
-    return vantage_points.nearest_neighbours(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20, factor=3.0)
+    return vantage_points.nearest_neighbours(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20, factor=1.1)
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,7 +107,7 @@ def search_tree(rows: np.ndarray, queries: np.ndarray, k: int, factor: float = 1
     return np.where(best.row >= 0, exact, -np.inf), best.row
 
 
-def nearest_neighbours(vectors: DataFrame, is_query: str, k: int = 20, factor: float = 1.5, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, is_query: str, k: int = 20, factor: float = 1.1, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest found among all other vectors, by inner product.
 
     is_query: a condition on ``vec_id``. Every usable vector is in a tree and every query row is asked. Vectors that are

@@ -26,7 +26,7 @@ from fernweave.llm._common import materialise, new_path
 # The magic number of the dictionary's frame, and the profile of revisits of equal payloads.
 DICTIONARY_MAGIC = 0x184D2A5D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Sample for the dictionary: records at most, bytes of each at most, and size of the dictionary.
+#: Sample for the dictionary: records, more or less, bytes of each at most, and size of the dictionary.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 8192, 65_536
 #: Bytes of an archive after which the next is begun.
 ARCHIVE_BYTES = 64 << 20
@@ -109,18 +109,18 @@ def records_of(chunks: Iterator[bytes]) -> Iterator[bytes]:
     zstd = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(held[8 : 8 + size]))
     held = held[8 + size :]
     parts: list[bytes] = []
-    frame = zstd.decompressobj()
+    frame, begun = zstd.decompressobj(), False
     while True:
         if not held:
             held = next(chunks, b"")
             if not held:
                 break
         parts.append(frame.decompress(held))
-        held = b""
+        held, begun = b"", True
         if frame.eof:
             yield b"".join(parts)
-            held, parts, frame = frame.unused_data, [], zstd.decompressobj()
-    if parts and any(parts):
+            held, parts, frame, begun = frame.unused_data, [], zstd.decompressobj(), False
+    if begun:
         raise ValueError("an archive ends within a record")
 
 
@@ -159,7 +159,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
     picked = pages.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{url_col}` as string) url", f"coalesce(cast(`{html_col}` as string), '') html_")
-    sample = picked.select(F.substring("html_", 1, SAMPLE_BYTES).alias("html_"), F.xxhash64("id", "html_").alias("at")).orderBy("at", "html_").limit(SAMPLE_RECORDS).collect()
+    share = min(1.0, SAMPLE_RECORDS / max(1, picked.count()))  # about as many records, and never more than twice
+    drawn = picked.where(F.pmod(F.xxhash64("id", "url", "html_"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = drawn.select(F.substring("html_", 1, SAMPLE_BYTES)).limit(2 * SAMPLE_RECORDS).collect()
     samples = [record_bytes(k, f"https://www.example.com/{k}", r[0].encode("utf-8", "surrogatepass"), None, date) for k, r in enumerate(sample)]
     shared = spark.sparkContext.broadcast(build_dictionary(samples, level=level))  # DICTIONARY_BYTES at most
     key = F.sha2("html_", 256)
