@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fernweave.llm._common import drop_path, materialise, new_path
+from fernweave.llm._common import drop_path, lean, materialise, new_path
 from fernweave.llm.shingles import mix, shingle_sets
 
 _U = np.uint64
@@ -170,7 +170,7 @@ def _index(docs: DataFrame, words: int, schemes: Schemes, parts: int, seed: int)
             turn += len(n)
         yield from flush()
 
-    return docs.mapInArrow(index, _INDEX_SCHEMA)
+    return docs.mapInArrow(lean(index), _INDEX_SCHEMA)
 
 
 def _posting_lists(indexed: DataFrame, schemes: Schemes) -> DataFrame:
@@ -227,7 +227,7 @@ def _posting_lists(indexed: DataFrame, schemes: Schemes) -> DataFrame:
                 sigs.append(batch.column(at("sigs"))[i].as_py()), cids.append(batch.column(at("cids"))[i].as_py())
         yield from lists()
 
-    return indexed.mapInArrow(merge, _FOUND_SCHEMA)
+    return indexed.mapInArrow(lean(merge), _FOUND_SCHEMA)
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -291,7 +291,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, schemes: Schemes,
 
     own, other = texts.select(F.col("cid").alias("a"), F.col("text_").alias("text_a")), texts.select(F.col("cid").alias("b"), F.col("text_").alias("text_b"))
     full = pairs.join(own, "a").join(other, "b").select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(verify, "a long, b long")
+    return full.mapInArrow(lean(verify), "a long, b long")
 
 
 def _cross_pairs(members: DataFrame, schemes: Schemes) -> DataFrame:
@@ -326,7 +326,7 @@ def _cross_pairs(members: DataFrame, schemes: Schemes) -> DataFrame:
         if held:
             yield from pairs(held)
 
-    return members.mapInArrow(compare, "a long, b long").distinct()
+    return members.mapInArrow(lean(compare), "a long, b long").distinct()
 
 
 def similar_components(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", seed: int = 1) -> DataFrame:
@@ -372,7 +372,7 @@ def similar_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
             yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), batch.column(0)], names=["cid", "n", "sketch", "text_"])
 
     wanted = keyed.join(reps.select("key").distinct(), "key", "left_semi").select("text_")
-    texts = wanted.mapInArrow(classes, "cid long, n long, sketch binary, text_ string")
+    texts = wanted.mapInArrow(lean(classes), "cid long, n long, sketch binary, text_ string")
     # an id that rows repeat brings other texts too: keep one text for each class
     texts = materialise(texts.join(members.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("text_").alias("text_")), "class-texts")
 

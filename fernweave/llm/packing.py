@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fernweave.llm._common import materialise
+from fernweave.llm._common import lean, materialise
 
 # ---------------------------------------------------------------- token ids
 
@@ -36,7 +36,7 @@ class WordIds:
     patterns, which could not cut them; every other piece takes the tokenizer's whole path.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.seen: dict[bytes, bytes] = {}
@@ -118,7 +118,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), *([pa.array(data, pa.binary())] if with_ids else [])], names=["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     picked = docs.selectExpr(f"cast(`{id_col}` as long) id", f"`{text_col}` text_")
-    return picked.mapInArrow(cut, "id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return picked.mapInArrow(lean(cut), "id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 # ---------------------------------------------------------------- the plan
