@@ -1,11 +1,13 @@
 """Nearest neighbours by inner product: a vantage-point tree for each shard, searched by many queries at once.
 
 Inner products become distances by one more component: with M the largest norm of a shard, each x gets
-sqrt(M^2 - |x|^2) and each query, scaled to norm one, gets 0, so that all points lie on a sphere and the nearest one has
+sqrt(M^2 - |x|^2) and each query, scaled to norm M, gets 0, so that all points lie on a sphere and the nearest one has
 the largest inner product. A node keeps a vantage point and the least and largest distance to it in either half. By the
-triangle inequality a half is no nearer to a query than its distance to the vantage point lies outside that range; the
-half is left out if that bound, times the factor, is beyond the query's k-th best so far. Factor one is exact search,
-larger factors leave out more.
+triangle inequality a half is no nearer to a query than its distance to the vantage point lies outside that range, which
+bounds the inner products in it. The half is left out if that bound is below the query's k-th best so far, or above it by
+less than factor - 1 times the gap between the k-th and the one before it, so that what is left out of a shard has k - 1
+better ones there. Factor one is exact search, larger factors leave out more. Differences of inner products decide, so
+neither the scale of the vectors nor some that are far longer than the others change what is found.
 """
 
 from __future__ import annotations
@@ -81,8 +83,8 @@ def search_tree(rows: np.ndarray, queries: np.ndarray, k: int, factor: float = 1
     length = np.linalg.norm(q, axis=1)
     best = Best(len(q), k)
 
-    def distance(score: np.ndarray, who: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(most + 1 - 2 * score / length[who], 0))
+    reach = np.sqrt(most) * length  # the inner product with a point in the query's direction
+    slight = 1e-12 * reach
 
     def visit(node: Node, who: np.ndarray) -> None:
         if node.rows is not None:
@@ -91,13 +93,14 @@ def search_tree(rows: np.ndarray, queries: np.ndarray, k: int, factor: float = 1
                 some = who[at : at + TOGETHER]
                 best.offer(some, node.rows, q[some] @ own)
             return
-        d = distance(q[who] @ x[node.point], who)
+        d = np.sqrt(np.maximum(2 * most * (1 - (q[who] @ x[node.point]) / reach[who]), 0))
         bounds = [np.maximum(np.maximum(low - d, d - high), 0) for _, low, high in node.halves]
         nearer = 0 if (bounds[0] <= bounds[1]).sum() * 2 >= len(who) else 1
         for side in (nearer, 1 - nearer):
-            kth = best.score[who, -1]
-            worst = np.where(np.isfinite(kth), distance(np.where(np.isfinite(kth), kth, 0), who), np.inf)
-            open_ = bounds[side] * factor <= worst + 1e-9
+            kth, before = best.score[who, -1], best.score[who, max(0, k - 2)]
+            gap = np.where(np.isfinite(kth), before - np.where(np.isfinite(kth), kth, 0), 0)
+            most_here = reach[who] * (1 - bounds[side] ** 2 / (2 * most))
+            open_ = ~(most_here + slight[who] < kth + (factor - 1) * gap)  # what is no number stays
             if open_.any():
                 visit(node.halves[side][0], who[open_])
 

@@ -201,6 +201,17 @@ def test_relaxed_tree_has_recall():
         assert np.mean([len({*a} & {*b}) / 20 for a, b in zip(got.tolist(), want.tolist(), strict=True)]) >= least
 
 
+@pytest.mark.parametrize(("scale", "outlier"), [(1, 1), (0.05, 1), (20, 1), (1, 100)])
+def test_recall_depends_on_no_scale(scale, outlier):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(7000, 64)), rng.normal(size=64) + 0.02 * rng.normal(size=(1000, 64))])
+    x = rng.permutation(x / np.linalg.norm(x, axis=1, keepdims=True)) * scale
+    x[5] *= outlier
+    scores = x[::40] @ x.T
+    found = vantage_points.search_tree(x, x[::40], 21, 1.1)[0]
+    assert (found[:, -1] >= -np.sort(-scores, axis=1)[:, 20] - 1e-9 * scale**2).mean() > 0.99
+
+
 def test_labeller_on_unseen_pages():
     model, rng, wrong, seen = html_text.trained_labeller(), np.random.default_rng(1234), 0, 0
     for _ in range(100):
