@@ -31,7 +31,6 @@ CODES = 28
 #: Log-probability that the channel takes for a sign in a letter's place, a dropped repeat or separator, and one kept as a gap.
 SIGN, REPEAT, JOIN, GAP = -1.0, -0.5, -0.3, -2.0
 BEAM = 48
-LONGEST = 64
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Letters or signs one by one with the same kind of gap between them, and what a text must match to hold that.
@@ -104,9 +103,10 @@ def _code(c: str) -> int:
 
 def restore(token: str, model: list) -> str:
     """The likeliest reading of a lower-case token; gaps that the search leaves are spaces."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # a reading is its last letter and the reading before that, so that the search is linear in the token's length
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     last = ""
-    for c in token[:LONGEST]:
+    for c in token:
         options: list[tuple[str, float]] = []
         if c.isalpha():
             options.append((c, 0.0))
@@ -119,8 +119,8 @@ def restore(token: str, model: list) -> str:
             if c in SEPARATORS or c not in LOOKALIKES:
                 options += [("", JOIN), (" ", GAP)]
         last = c
-        grown: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
+        grown: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, read) in states.items():
             for out, cost in options:
                 if not out:
                     key, value = (a, b), score + cost
@@ -128,14 +128,24 @@ def restore(token: str, model: list) -> str:
                     k = _code(out)
                     key, value = ((b, k) if k and b else (0, k)), score + cost + model[a][b][k]
                 if key not in grown or value > grown[key][0]:
-                    grown[key] = value, text + out
+                    grown[key] = value, (read, out) if out else read
         states = dict(sorted(grown.items(), key=lambda s: -s[1][0])[:BEAM])
-    return max(((score + model[a][b][0], text) for (a, b), (score, text) in states.items()), default=(0.0, ""))[1]
+    ends = [(score + model[a][b][0], read) for (a, b), (score, read) in states.items()]
+    most = max((score for score, _ in ends), default=0.0)
+    return max((_spelling(read) for score, read in ends if score == most), default="")
+
+
+def _spelling(read: tuple | None) -> str:
+    letters = []
+    while read is not None:
+        read, letter = read
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 def is_disguised(token: str) -> bool:
     """Whether a lower-case token without its edges mixes letters and signs, stretches a letter or is spelt out."""
-    if not 3 <= len(token) <= LONGEST or token.isalpha() and not _STRETCHED.search(token):
+    if len(token) < 3 or token.isalpha() and not _STRETCHED.search(token):
         return False
     letters = sum(c.isalpha() for c in token)
     signs = sum(c in LOOKALIKES for c in token)

@@ -248,6 +248,19 @@ def test_toxicity_reads_through_disguises(spark):
     assert {r.doc_id for r in toxicity.without_toxic(docs_of(spark, rows), model).collect()} == {3, 4, 5}
 
 
+def test_long_disguises_are_decoded_whole(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels)
+    clean = "the people of the town were there and the water was near them "
+    spelt = [" ".join((clean * 2 + "you are an idiot and nobody likes you").replace(" ", "")), "-".join((clean + "you 4r3 4n 1d10t of them").split())]
+    rows = [(1, spelt[0]), (2, spelt[1]), (3, "idi" + "o" * 200 + "t"), (4, "id" + "i" * 5000 + "ot"), (5, " ".join((clean * 3).replace(" ", ""))), (6, "-".join((clean * 2).split())), (7, "the" + "e" * 200)]
+    assert all(len(t) > 64 for _, t in rows)
+    got = {r.id: r.score for r in toxicity.score_toxicity(docs_of(spark, rows), model).collect()}
+    assert min(got[k] for k in (1, 2, 3, 4)) >= 0.3 > max(got[k] for k in (5, 6, 7)), got
+    table = model.characters.tolist()
+    assert toxicity.restore("id" + "i" * 200_000 + "ot", table) == toxicity.restore("idiiiot", table)
+
+
 def test_toxicity_without_labels(spark):
     docs = docs_of(spark, [(1, "idiot"), (2, None)])
     model = toxicity.fit_toxicity(docs, spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int"))
