@@ -23,7 +23,7 @@ ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 #: Where credentials are named in prose or code; group 2 is the value.
-CREDENTIAL = r"""(pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer)["']?(?:\x20+is)?\x20*(?::=|=>|[:=\x20])\x20*["'`]?([^\x00-\x20"'`,;<>(){}\[\]]{8,256})"""
+CREDENTIAL = r"""(pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer)["']?(?:\x20+is)?\x20*(?::=|=>|[:=\x20])\x20*["'`]?([^\x00-\x20"'`,;<>(){}\[\]]{8,})"""
 #: What a text must match for one of the patterns to match it; these run on whole Arrow batches.
 HINTS = {"assign": r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]{12}", "access": r"AKIA[A-Z0-9]{14}", "hex": r"[0-9a-f]{16}", "credential": r"(?i)(pass(word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer)"}
 LEAST = {"assign": 12, "access": 18, "hex": 16}

@@ -77,6 +77,17 @@ def test_secret_spans(spark):
     assert "abcdefABCDEF0123" not in masked[1] and masked[2] == texts[1][1] and masked[3] is None
 
 
+def test_long_credentials_are_taken_whole(spark):
+    rng = random.Random(4)
+    token = "eyJ" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_") for _ in range(997))
+    head = "curl -H 'Authorization: Bearer "
+    docs = docs_of(spark, [(1, f"{head}{token}' http://x"), (2, "pwd=" + "x" * 1000 + " end")])
+    got = {r.id: r.spans for r in secret_scan.scan_secrets(docs).collect()}
+    assert f"credential:{len(head)}:{len(head) + 1000}" in got[1].split(",") and got[2] == ""
+    masked = {r.doc_id: r.text for r in secret_scan.redact_secrets(docs).collect()}
+    assert masked == {1: f"{head}[credential]' http://x", 2: "pwd=" + "x" * 1000 + " end"}
+
+
 def test_guess_cost_is_least_over_segmentations():
     cost = secret_scan.guess_cost
     assert cost("") == 0 and cost("password") < 8 and cost("qwertyuiop") < 25 and cost("aaaaaaaaaaaa") < 12 and cost("19990412") < 20
