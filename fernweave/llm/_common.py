@@ -12,6 +12,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts define words: [^\x20\x09-\x0D]+
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
@@ -46,6 +47,24 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key from which it is joined apart, and most such keys; those beyond have a HOT_KEYS-th of all rows at most.
+HOT_ROWS, HOT_KEYS = 2000, 2000
+
+
+def join_unique(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with a table that has each key once, whatever share of the rows one key has.
+
+    The keys with the most rows, from HOT_ROWS rows on and HOT_KEYS keys at most, are joined by broadcast. Null keys
+    find nothing.
+    """
+    counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("rows_")).where((F.col("rows_") > HOT_ROWS) & F.col(key).isNotNull())
+    hot = [r[0] for r in counts.orderBy(F.desc("rows_")).limit(HOT_KEYS).select(key).collect()]
+    if not hot:
+        return many.join(one, key)
+    is_hot = F.col(key).isin(hot)
+    return many.where(~is_hot).join(one.where(~is_hot), key).unionByName(many.where(is_hot).join(F.broadcast(one.where(is_hot)), key))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a finished intermediate table of the shared folder."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
