@@ -32,11 +32,15 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta source trac
 ENDS_OPEN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ENDS_P = BLOCK_TAGS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend", "summary"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# quotes hold a value only behind an equals sign
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PARTS = re.compile(r"[a-zA-Z]+")
-#: Names of elements past which an open paragraph is not looked for.
+#: Elements past which an open paragraph and an open item or cell are not looked for.
 _SCOPE = BLOCK_TAGS - {"p"}
+_HOLDERS = frozenset("ul ol dl table select tbody thead tfoot".split())
+#: Elements that a head may hold; any other ends it.
+_IN_HEAD = frozenset("head html base link meta title style script noscript template".split())
 
 
 def _names(attributes: str) -> tuple[str, ...]:
@@ -53,16 +57,63 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def leaf_blocks(page: str) -> list[tuple[str, str, int]]:
-    """(text, tag path, characters of link text) of each leaf block with text, in page order.
+class _Open:
+    """Open elements, with the places of each tag, so that no end tag looks through all of them."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.paths: list[tuple[frozenset[int], tuple[str, ...], tuple[str, ...]]] = []  # buckets of all, own marks, parent's
+        self.at: dict[str, list[int]] = {}
+        self.groups: dict[str, tuple[frozenset[str], list[int]]] = {"block": (BLOCK_TAGS, []), "scope": (_SCOPE, []), "holder": (_HOLDERS, [])}
+        self.links = self.unseen = 0
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        above, parent, _ = self.paths[-1] if self.paths else (frozenset(), (), ())
+        own = frozenset(_bucket(f"{'.' if k else ''}{x}", PATHS) for k, x in enumerate((tag, *names)))
+        for tags, places in self.groups.values():
+            if tag in tags:
+                places.append(len(self.tags))
+        self.at.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+        self.paths.append((above if own <= above else above | own, (tag, *names), parent))
+        self.links += tag == "a"
+        self.unseen += tag in UNSEEN_TAGS
+
+    def last(self, tag: str, group: str | None) -> int | None:
+        """The place of the innermost such element, unless one of the group is open inside it."""
+        places = self.at.get(tag)
+        if not places or group and self.groups[group][1] and self.groups[group][1][-1] > places[-1]:
+            return None
+        return places[-1]
+
+    def pop_to(self, k: int | None) -> None:
+        while k is not None and len(self.tags) > k:
+            tag = self.tags.pop()
+            self.paths.pop()
+            self.at[tag].pop()
+            for tags, places in self.groups.values():
+                if tag in tags:
+                    places.pop()
+            self.links -= tag == "a"
+            self.unseen -= tag in UNSEEN_TAGS
+
+    def marks(self) -> tuple[int, ...]:
+        """Buckets of every tag and name on the path, and those of the last two elements once more as such."""
+        above, own, parent = self.paths[-1] if self.paths else (frozenset(), (), ())
+        return tuple(sorted(above)) + tuple(sorted({_bucket(f"{depth}:{x}", PATHS) for depth, names in enumerate((own, parent)) for x in names}))
+
+
+def leaf_blocks(page: str) -> list[tuple[str, tuple[int, ...], int]]:
+    """(text, buckets of the tag path, characters of link text) of each leaf block with text, in page order.
 
     Character references are decoded, white space is one space, text ends are trimmed. Comments, scripts, styles and
-    other elements that show no text are left out. Unclosed and stray tags are taken as browsers take them, in the main.
+    other elements that show no text are left out. Unclosed, left out and stray tags are taken as browsers take them,
+    in the main. Time and memory are linear in the page, however deep its elements lie.
     """
-    found: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str]] = []  # tag, path so far
+    found: list[tuple[str, tuple[int, ...], int]] = []
+    stack = _Open()
     pieces: list[str] = []
-    links = linked = unseen = at = 0
+    linked = at = 0
     n = len(page)
 
     def close() -> None:
@@ -70,27 +121,23 @@ def leaf_blocks(page: str) -> list[tuple[str, str, int]]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                found.append((text, stack[-1][1] if stack else "", linked))
+                found.append((text, stack.marks(), linked))
             pieces.clear()
         linked = 0
 
-    def pop_to(k: int) -> None:
-        nonlocal links, unseen
-        for tag, _ in stack[k:]:
-            links -= tag == "a"
-            unseen -= tag in UNSEEN_TAGS
-        del stack[k:]
-
     while at < n:
         m = _TOKEN.search(page, at)
         end = m.start() if m else n
-        if end > at and not unseen:
-            piece = page[at:end]
-            if "&" in piece:
-                piece = html.unescape(piece)
-            pieces.append(piece)
-            if links:
-                linked += len(piece)
+        if end > at:
+            if stack.tags and stack.tags[-1] == "head" and not page[at:end].isspace():
+                stack.pop_to(len(stack.tags) - 1)  # text ends a head that is still open
+            if not stack.unseen:
+                piece = page[at:end]
+                if "&" in piece:
+                    piece = html.unescape(piece)
+                pieces.append(piece)
+                if stack.links:
+                    linked += len(piece)
         if not m:
             break
         at = m.end()
@@ -101,46 +148,26 @@ def leaf_blocks(page: str) -> list[tuple[str, str, int]]:
         if m[1]:  # an end tag
             if tag in BLOCK_TAGS:
                 close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if tag not in BLOCK_TAGS and stack[k][0] in BLOCK_TAGS:
-                    break
+            stack.pop_to(stack.last(tag, None if tag in BLOCK_TAGS else "block"))
             continue
+        if tag not in _IN_HEAD:
+            stack.pop_to(stack.last("head", None))
         if tag == "br":
             pieces.append(" ")
             continue
         if tag in BLOCK_TAGS:
             close()
             if tag in ENDS_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        pop_to(k)
-                        break
-                    if stack[k][0] in _SCOPE:
-                        break
+                stack.pop_to(stack.last("p", "scope"))
             for other in ENDS_OPEN.get(tag, ()):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == other:
-                        pop_to(k)
-                        break
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "select", "tbody", "thead", "tfoot"):
-                        break
-            if tag == "body":
-                pop_to(next((k for k, s in enumerate(stack) if s[0] == "head"), len(stack)))
+                stack.pop_to(stack.last(other, "holder"))
         if tag in VOID_TAGS or m[3].endswith("/") and tag not in BLOCK_TAGS:
             continue
         if tag in RAW_TAGS:  # no markup inside
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = stop.end() if stop else n
             continue
-        above = stack[-1][1] if stack else ""
-        names = _names(m[3])
-        own = f"{above}|{tag}" + "".join(f" {x}" for x in names)
-        stack.append((tag, own))
-        links += tag == "a"
-        unseen += tag in UNSEEN_TAGS
+        stack.push(tag, _names(m[3]))
     close()
     return found
 
@@ -148,20 +175,11 @@ def leaf_blocks(page: str) -> list[tuple[str, str, int]]:
 # ---------------------------------------------------------------- the network
 
 
+@lru_cache(maxsize=50_000)
 def _bucket(name: str, buckets: int) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % buckets
 
 
-@lru_cache(maxsize=50_000)
-def path_buckets(path: str) -> tuple[int, ...]:
-    """Hashed marks of a path: every tag and name on it, and those of the last two elements once more as such."""
-    parts = [p.split(" ") for p in path.split("|") if p]
-    marks = {f"{'.' if k else ''}{x}" for p in parts for k, x in enumerate(p)}
-    for depth, p in enumerate(reversed(parts[-2:])):
-        marks |= {f"{depth}:{x}" for x in p}
-    return tuple(sorted(_bucket(x, PATHS) for x in marks))
-
-
 def _word_table() -> tuple[np.ndarray, np.ndarray]:
     """Values of bytes for word hashes, either case alike, and which bytes part words: ASCII but letters and digits."""
     value = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -179,9 +197,9 @@ def _figures(text: str, linked: int) -> tuple[float, ...]:
     return (min(1.0, math.log1p(n) / 8), min(1.0, linked / n), min(1.0, (text.count(".") + text.count(",")) / 10), text[-1] in ".!?…", text[0].isupper(), min(1.0, text.count(" ") / 20))
 
 
-def encode(blocks: list[tuple[str, str, int]]) -> tuple[np.ndarray, ...]:
+def encode(blocks: list[tuple[str, tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
     """Blocks as arrays: buckets of path marks, how many each block has, the same for words, and figures."""
-    paths = [path_buckets(b[1]) for b in blocks]
+    paths = [b[1] for b in blocks]
     raw = [b[0].encode("utf-8", "surrogatepass") for b in blocks]
     hashed, starts = word_hashes(np.frombuffer(b" ".join(raw) + b" ", np.uint8), _WORD_VALUES, _WORD_PARTS)
     bounds = np.searchsorted(starts, np.cumsum([0] + [len(r) + 1 for r in raw]))

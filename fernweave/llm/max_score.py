@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fernweave.llm.vector_search import packed_vectors, top_k, usable_vectors
 
@@ -97,7 +98,7 @@ def search_postings(rows: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.n
         postings = Postings(rows[first : first + STRETCH], first)
         for query, top in zip(queries, tops, strict=True):
             search_stretch(postings, query, top)
-    scores, found = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1, np.int64)
+    scores, found = np.zeros((len(queries), k), np.int64), np.full((len(queries), k), -1, np.int64)
     for i, top in enumerate(tops):
         scores[i, : len(top.score)], found[i, : len(top.row)] = top.score, top.row
     return scores, found
@@ -106,11 +107,15 @@ def search_postings(rows: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.n
 def exact_top_k(vectors: DataFrame, is_query: str, k: int = 10, scale: int = 1024, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k highest integer inner products with all other vectors.
 
-    Components are floor(scale * x) and must fit 32 bits; scores must stay below 2 ** 53. Vectors that are null or
-    empty or hold null or non-finite components, and rows without an id take no part; zero vectors do. Shorter vectors
-    count as filled up with zeros. Ties go to smaller ids. With fewer than k candidates all are returned; an empty
+    Components are floor(scale * x), in 64 bits like the scores: vectors so long that a score could be 2 ** 62 or more
+    raise a ValueError. Vectors that are null or empty or hold null or non-finite components, and rows without an id
+    take no part; zero vectors do. Shorter vectors count as filled up with zeros. Ties go to smaller ids. With fewer than k candidates all are returned; an empty
     table gives no rows; other columns are ignored.
     """
-    packed, _ = packed_vectors(usable_vectors(vectors, id_col, vector_col, zero_too=True), lambda a: np.floor(scale * a).astype("<i4"))
-    found = top_k(packed, is_query, k, "<i4", search_postings, shard_rows, block_rows)
-    return found.withColumn("score", found["score"].cast("long"))
+    usable = usable_vectors(vectors, id_col, vector_col, zero_too=True)
+    norm2 = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
+    size, most = usable.select(F.size("vector").alias("size"), norm2.alias("norm2")).agg(F.max("size"), F.max("norm2")).first()
+    if (abs(scale) * (most or 0.0) ** 0.5 + (size or 0) ** 0.5) ** 2 >= 2**62:  # no score is larger than the square of the largest norm
+        raise ValueError("components are too large for scores in 64 bits")
+    packed, _ = packed_vectors(usable, lambda a: np.floor(scale * a).astype("<i8"))
+    return top_k(packed, is_query, k, "<i8", search_postings, shard_rows, block_rows, score_type="long")

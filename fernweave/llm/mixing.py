@@ -1,7 +1,7 @@
 """Mixing sources to target weights by systematic sampling, with DataFrame functions only.
 
 Each source gets a target in words. A document of a source with rate ``r = target / source size`` is expected
-``r`` times. Documents of a source lie in the order (size, salt, id); ``r`` times the place in that order is the prefix
+``r`` times. Documents of a source lie in the order (size, salt, id, digest of id and text), the salt from the digest; ``r`` times the place in that order is the prefix
 sum of the expected copies, one random offset is added, and a document is emitted once for each integer that its step
 of the prefix sum crosses. Because the order is by size, any stretch of similar sizes gets its share, so the words
 taken come near the target.
@@ -68,16 +68,18 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns a row for each row of ``docs``: id, source, size, source_size, target, copies, taken (= copies * size), and
     with ``keep_rows`` the whole row as struct ``row``. No document has more than ``most`` copies.
 
-    Null and empty texts have size 0 and take nothing. A null source is a source of its own, last in the order. A null
-    id counts as 0 in the order. Repeated rows are documents like any other; which of them is emitted makes no
-    difference. An empty table gives an empty result. Other columns are ignored, whatever their names.
+    Null and empty texts have size 0 and take nothing. A null source is a source of its own, last in the order. Null
+    ids come first in the order. Repeated rows are documents like any other; rows that are equal in id and text may
+    change places with each other, but no others. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
+    said = F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    digest = F.conv(F.substring(F.md5(said), 1, 8), 16, 10).cast("long").alias("digest")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    picked = docs.select(F.col(f"`{id_col}`").alias("id"), source_key(F.col(f"`{source_col}`")).alias("key"), word_count(F.col(f"`{text_col}`")).alias("size"), *[row] * keep_rows)
-    slim = materialise(picked.select("id", "key", "size"), "mix-sizes")
+    picked = docs.select(F.col(f"`{id_col}`").alias("id"), source_key(F.col(f"`{source_col}`")).alias("key"), digest, word_count(F.col(f"`{text_col}`")).alias("size"), *[row] * keep_rows)
+    slim = materialise(picked.select("id", "key", "size", "digest"), "mix-sizes")
     salts = max(LEAST_SALTS, -(-slim.count() // ROWS_PER_SALT))
     band = F.floor(F.log2(F.col("size") + F.lit(1.0)) * 8).cast("int").alias("band")
-    salt = F.pmod(F.coalesce(F.col("id"), F.lit(0)), F.lit(salts)).cast("int").alias("salt")
+    salt = F.pmod("digest", F.lit(salts)).cast("int").alias("salt")
 
     cells = materialise(slim.groupBy("key", "size", salt).agg(F.count(F.lit(1)).alias("n")), "mix-cells")
     lines = cells.groupBy("key", "size", band).agg(F.sum("n").alias("n"))
@@ -94,7 +96,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cells = cells.select("key", "size", "salt", start.alias("start"), "source_size", "target", "rate")
 
     rows = (picked if keep_rows else slim).withColumn("salt", salt)
-    rows = rows.withColumn("in_cell", F.row_number().over(W.partitionBy("key", "size", "salt").orderBy("id")))
+    rows = rows.withColumn("in_cell", F.row_number().over(W.partitionBy("key", "size", "salt").orderBy("id", "digest")))
     place = F.col("start") + F.col("in_cell")
 
     def reached(place: Column) -> Column:

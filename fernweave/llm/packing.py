@@ -3,8 +3,9 @@
 The histogram of piece lengths has at most ``capacity`` bins however many documents there are, so the plan is made from
 it alone. Patterns are multisets of a few length classes that fill a sequence; repeat counts that reproduce the
 histogram are fitted by non-negative least squares and rounded down; each pattern then takes real lengths, longest of
-its class first, and what is left over in the histogram is packed best fit, longest first, as runs of equal sequences.
-The plan maps (length, number among the pieces of that length) to a place; documents never leave their tasks for it.
+its class first and last the longest piece that still fits, as long as that fills a sequence, and what is left over in
+the histogram is packed best fit, longest first, as runs of equal sequences. The plan maps (length, number
+among the pieces of that length) to a place; documents never leave their tasks for it.
 """
 
 from __future__ import annotations
@@ -167,18 +168,26 @@ def plan_packing(histogram: np.ndarray, capacity: int, classes: int = 128, parts
 
     Work and result are bounded by ``capacity``, not by the number of pieces.
     """
+    full = [([capacity], int(histogram[capacity]))] if histogram[capacity] else []
     left = histogram.astype(np.int64).copy()
-    plan: list[tuple[list[int], int]] = []
-    if left[capacity]:
-        plan.append(([capacity], int(left[capacity])))
-        left[capacity] = 0
+    left[capacity] = 0
     width = capacity / classes
     of_length = np.ceil(np.arange(capacity + 1) / width).astype(int)
     target = np.bincount(of_length, left, classes + 1)[1:]
     patterns = length_patterns(classes, parts)
     scale = max(1.0, target.max())
     repeats = np.floor(non_negative_least_squares(patterns.T, target / scale) * scale + 1e-6).astype(np.int64)
+    # rounded with several measures of how open a pattern's sequence may stay: the plan with the fewest sequences
+    plans = [_rounded(left.copy(), repeats, patterns, of_length, capacity, classes, open_by) for open_by in SLACKS]
+    return full + min(plans, key=lambda plan: sum(number for _, number in plan))
 
+
+#: Tokens by which a pattern's sequence may stay open; one that no last piece fills so far is left to the residuals.
+SLACKS = (0, 1, 2, 4, 8, 32)
+
+
+def _rounded(left: np.ndarray, repeats: np.ndarray, patterns: np.ndarray, of_length: np.ndarray, capacity: int, classes: int, slack: int) -> list[tuple[list[int], int]]:
+    """A plan for the lengths ``left`` from repeat counts of patterns, with the residuals packed best fit."""
     spare = [[int(n) for n in np.flatnonzero(of_length == c) if left[n]] for c in range(classes + 1)]
     open_runs: dict[int, list[list]] = {}  # room -> runs of equal sequences that have it: [lengths, number]
 
@@ -189,20 +198,24 @@ def plan_packing(histogram: np.ndarray, capacity: int, classes: int = 128, parts
         need = int(repeats[k])
         if need <= 0:
             break
-        chosen = [c + 1 for c in np.flatnonzero(patterns[k]) for _ in range(int(patterns[k][c]))]
+        chosen = sorted((c + 1 for c in np.flatnonzero(patterns[k]) for _ in range(int(patterns[k][c]))), reverse=True)
         while need > 0:
             lengths: list[int] = []
-            for c in chosen:
-                while spare[c] and left[spare[c][-1]] - lengths.count(spare[c][-1]) <= 0:
-                    if left[spare[c][-1]] > 0:
-                        break
+            for c in chosen[:-1]:
+                while spare[c] and not left[spare[c][-1]]:
                     spare[c].pop()
                 best = next((n for n in reversed(spare[c]) if left[n] > lengths.count(n)), None)
                 if best is None:
                     break
                 lengths.append(best)
-            if len(lengths) < len(chosen):
+            if len(lengths) < len(chosen) - 1:
+                break
+            # the last place takes the longest piece that still fits; a sequence that stays too open is left to the residuals
+            room = capacity - sum(lengths)
+            last = next((n for n in range(room, max(0, room - slack - 1), -1) if left[n] > lengths.count(n)), None)
+            if last is None:
                 break
+            lengths.append(last)
             number = min(need, *(int(left[n]) // lengths.count(n) for n in set(lengths)))
             for n in lengths:
                 left[n] -= number
@@ -235,7 +248,7 @@ def plan_packing(histogram: np.ndarray, capacity: int, classes: int = 128, parts
             filled = [*lengths, *[n] * each]
             close(filled, moved)
             rooms[capacity - sum(filled)] += moved
-    return plan + [(lengths, number) for _, runs in sorted(open_runs.items()) for lengths, number in runs]
+    return [(lengths, number) for _, runs in sorted(open_runs.items()) for lengths, number in runs]
 
 
 class Places:

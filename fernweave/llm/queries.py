@@ -82,7 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 OP10_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
-         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 8)) AS BIGINT) AS digest
   FROM documents),
 sources AS (
   SELECT k, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY k) - 1) % 3 + 1] AS weight
@@ -104,7 +105,7 @@ targets AS (
          CAST(('0x' || substr(md5('17|' || k), 1, 8)) AS BIGINT) / 4294967296.0 AS first
   FROM rounds WHERE i = (SELECT count(*) FROM sources)),
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY k ORDER BY size, coalesce(doc_id, 0) % greatest(64, (n + 1048575) // 1048576), doc_id) AS place
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY size, digest % greatest(64, (n + 1048575) // 1048576), doc_id NULLS FIRST, digest) AS place
   FROM (SELECT *, count(*) OVER () AS n FROM sized))
 SELECT doc_id, size, source_size, target,
        CAST(least(3, floor(first + place * rate) - floor(first + (place - 1) * rate)) AS BIGINT) * size AS taken

@@ -3,7 +3,10 @@
 Guess cost is the least number of guesses, as a base-2 logarithm, over all ways to cut a value into spans: dictionary
 words (with simple letter swaps), dates, repeats, keyboard walks, alphabet runs, and brute force. A dynamic programme
 over the ends of spans finds it. Values in a credential context that cost more than a threshold are secrets even where
-no fixed pattern matches; placeholders such as ``changeme`` or ``xxxxxxxx`` cost little and are left alone.
+no fixed pattern matches; placeholders such as ``changeme`` or ``xxxxxxxx`` cost little and are left alone. A context is
+a keyword and ``:``, ``=``, ``:=``, ``=>``, ``is`` or an opening quote, or ``bearer`` and a space. After ``is`` and a
+space, values that are words of prose (lower-case letters but for first ones, joined by hyphens, full stops, slashes or
+apostrophes) are left alone. The words of the dictionary are a fixed list and those of most documents.
 """
 
 from __future__ import annotations
@@ -17,13 +20,14 @@ from functools import lru_cache
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # The base patterns of the contract, by kind in its order.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-#: Where credentials are named in prose or code; group 2 is the value.
-CREDENTIAL = r"""(pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer)["']?(?:\x20+is)?\x20*(?::=|=>|[:=\x20])\x20*["'`]?([^\x00-\x20"'`,;<>(){}\[\]]{8,})"""
+#: Where credentials are named in prose or code; group 2 is what stands between, group 3 the value.
+CREDENTIAL = r"""(pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer)["']?(\x20*(?::=|=>|[:=])\x20*["'`]?|\x20+is:?\x20+["'`]?|\x20+["'`]|(?<=bearer)\x20+)([^\x00-\x20"'`,;<>(){}\[\]]{8,})"""
 #: What a text must match for one of the patterns to match it; these run on whole Arrow batches.
 HINTS = {"assign": r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]{12}", "access": r"AKIA[A-Z0-9]{14}", "hex": r"[0-9a-f]{16}", "credential": r"(?i)(pass(word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer)"}
 LEAST = {"assign": 12, "access": 18, "hex": 16}
@@ -42,8 +46,12 @@ KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 # Letters that digits and signs stand for.
 SWAPS = {"4": "a", "@": "a", "3": "e", "1": "l", "!": "i", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "8": "b", "9": "g"}
 
+#: Letters of the longest word that is looked up; longer entries of a dictionary count for nothing.
+LONGEST_WORD = 20
+
 _ASSIGN, _CREDENTIAL = re.compile(ASSIGN, re.I | re.A), re.compile(CREDENTIAL, re.I | re.A)
 _ACCESS, _HEX = re.compile(ACCESS), re.compile(HEX)
+_PROSE = re.compile(r"[^\W\d_]?[^\W\d_A-Z]*(?:[-'/.][^\W\d_]?[^\W\d_A-Z]+)*")
 _DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 
 
@@ -76,7 +84,7 @@ def _spans(value: str, words: dict[str, int]) -> Iterator[tuple[int, int, float]
     """(start, end, log2 guesses) of every span that a guesser has a pattern for."""
     n, low = len(value), "".join(c.lower() if c.isascii() else c for c in value)
     plain = "".join(SWAPS.get(c, c) for c in low)
-    longest = max(map(len, words), default=0)
+    longest = LONGEST_WORD
     for i in range(n):
         for j in range(i + 3, min(n, i + longest) + 1):
             for text, extra in ((low, 0.0), (plain, 1.0)):
@@ -139,9 +147,9 @@ def find_spans(text: str, least_bits: float, words: dict[str, int] | None = None
     found += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
     found += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text) if len(m[0]) >= LEAST["hex"]]
     for m in _CREDENTIAL.finditer(text):
-        value = m[2].rstrip(".!?:")
-        if len(value) >= 8 and any(not c.isalpha() for c in value) and guess_cost(value, words) >= least_bits:
-            found.append((m.start(2), m.start(2) + len(value), "credential"))
+        value = m[3].rstrip(".!?:")
+        if len(value) >= 8 and not (m[2].strip() in ("is", "is:") and _PROSE.fullmatch(value)) and guess_cost(value, words) >= least_bits:
+            found.append((m.start(3), m.start(3) + len(value), "credential"))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
@@ -149,20 +157,38 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
+#: Words that a dictionary takes from the corpus.
+MOST_WORDS = 20_000
+
+
+def common_words(docs: DataFrame, most: int = MOST_WORDS, text_col: str = "text") -> tuple[str, ...]:
+    """The fixed words and then the ``most`` words of 3 to 20 lower-case letters that most documents have, in that order.
+
+    Words are counted over every whole text, once for each document, and ordered by count and then by spelling; only
+    words between white space or stops count, so that no part of a key becomes a word. Empty tables add none.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(r"(?<![^\s])([a-z]{3,20})(?=[\s.,;:!?]|$)"), F.lit(1)))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ranked = [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+    return tuple(dict.fromkeys([*COMMON, *ranked]))
+
+
 #: log2 guesses from which a value in a credential context is taken for a secret.
 LEAST_BITS = 36.0
 
 SCAN_SCHEMA = "id long, n_assign long, n_access long, n_hex long, n_credential long, base_sha256 string, spans string"
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_bits: float = LEAST_BITS, words: tuple[str, ...] = tuple(COMMON), keep: tuple[str, ...] = ()) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_bits: float = LEAST_BITS, words: tuple[str, ...] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Secrets in every whole text: counts by kind, a digest of the pattern spans, and all spans.
 
     Returns a row for each row of ``docs``: id, n_assign, n_access, n_hex, n_credential, base_sha256, spans and the
     columns of ``keep``. Null texts count as empty and have no spans (the digest is that of the empty string); null ids
-    stay null; repeated rows give repeated rows; other columns are ignored. Texts of any length are read whole.
+    stay null; repeated rows give repeated rows; other columns are ignored. Texts of any length are read whole. words:
+    the dictionary, most frequent first; by default :func:`common_words` of ``docs``.
     """
-    ranks = {w: k for k, w in enumerate(words, 1)}
+    words = common_words(docs, text_col=text_col) if words is None else words  # MOST_WORDS and the fixed ones at most
+    ranks = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words, 1)})
     empty = hashlib.sha256(b"").hexdigest()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +199,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             counts = {k: [0] * len(likely) for k in KINDS}
             digests, lists = [empty] * len(likely), [""] * len(likely)
             for i in likely.nonzero()[0].tolist():
-                spans = find_spans(text[i].as_py(), least_bits, ranks)
+                spans = find_spans(text[i].as_py(), least_bits, ranks.value)
                 if spans:
                     for _, _, kind in spans:
                         counts[kind][i] += 1
@@ -188,13 +214,15 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(scan, SCAN_SCHEMA + kept)
 
 
-def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_bits: float = LEAST_BITS, words: tuple[str, ...] = tuple(COMMON), length_col: str | None = None) -> DataFrame:
+def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_bits: float = LEAST_BITS, words: tuple[str, ...] | None = None, length_col: str | None = None) -> DataFrame:
     """The rows of ``docs`` with every secret span of the text replaced by ``[kind]``; nothing is dropped.
 
     Overlapping spans are replaced as one, under the kind of the first. Texts without spans, null texts and all other
-    columns stay as they are, but for ``length_col``: there changed rows get the code points of their new text.
+    columns stay as they are, but for ``length_col``: there changed rows get the code points of their new text. words:
+    as in :func:`scan_secrets`. Repeated rows and null ids are rows like any other; an empty table stays empty.
     """
-    ranks = {w: k for k, w in enumerate(words, 1)}
+    words = common_words(docs, text_col=text_col) if words is None else words
+    ranks = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words, 1)})
     at = docs.columns.index(text_col)
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +230,7 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             text = batch.column(at)
             likely = pc.fill_null(pc.match_substring_regex(text, hint), False).to_numpy(zero_copy_only=False)
-            changed = {i: redacted(text[i].as_py(), least_bits, ranks) for i in likely.nonzero()[0].tolist()}
+            changed = {i: redacted(text[i].as_py(), least_bits, ranks.value) for i in likely.nonzero()[0].tolist()}
             if changed:
                 values = [changed.get(i, x) for i, x in enumerate(text.to_pylist())]
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(values, text.type))

@@ -81,7 +81,8 @@ def token_matrices(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     the tokens of that document before it. A document is its ids and ``end_id``; only longer ones are cut.
 
     Null and empty texts are a segment of ``end_id`` alone; a null id is a null in ``segment_ids``; repeated rows are
-    packed as often as they occur; an empty table gives no rows; other columns are ignored. The numbers of sequences
+    packed as often as they occur; an empty table gives no rows; other columns are ignored. A vocabulary or id of more
+    than 16 bits raises a ValueError. The numbers of sequences
     are those of the task and of the place in it.
     """
     if capacity > 1 << 16:
@@ -89,6 +90,8 @@ def token_matrices(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_ids(tokenizer_path)
+        if max(len(table.ends) - 1, end_id, pad_id) >= 1 << 16:
+            raise ValueError("ids of this vocabulary do not fit 16 bits")
         end = np.array([end_id], "<u2").tobytes()
         first = TaskContext.get().partitionId() << 33
         ids: list[int | None] = []

@@ -30,7 +30,6 @@ SEPARATORS = " .-_*'`~^,/"
 CODES = 28
 #: Log-probability that the channel takes for a sign in a letter's place, a dropped repeat or separator, and one kept as a gap.
 SIGN, REPEAT, JOIN, GAP = -1.0, -0.5, -0.3, -2.0
-BEAM = 48
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Letters or signs one by one with the same kind of gap between them, and what a text must match to hold that.
@@ -129,7 +128,7 @@ def restore(token: str, model: list) -> str:
                     key, value = ((b, k) if k and b else (0, k)), score + cost + model[a][b][k]
                 if key not in grown or value > grown[key][0]:
                     grown[key] = value, (read, out) if out else read
-        states = dict(sorted(grown.items(), key=lambda s: -s[1][0])[:BEAM])
+        states = grown  # at most CODES * CODES
     ends = [(score + model[a][b][0], read) for (a, b), (score, read) in states.items()]
     most = max((score for score, _ in ends), default=0.0)
     return max((_spelling(read) for score, read in ends if score == most), default="")

@@ -106,7 +106,7 @@ def search_tree(rows: np.ndarray, queries: np.ndarray, k: int, factor: float = 1
 
     visit(build_tree(points, np.arange(len(x)), np.random.default_rng(seed), leaf), np.arange(len(q)))
     # the same sums whatever was searched together
-    exact = np.einsum("qd,qkd->qk", q, x[np.maximum(best.row, 0)]) if len(q) * k * x.shape[1] < 1 << 24 else np.stack([x[np.maximum(r, 0)] @ v for r, v in zip(best.row, q, strict=True)])
+    exact = np.stack([(x[np.maximum(r, 0)] * v).sum(axis=1) for r, v in zip(best.row, q, strict=True)])
     return np.where(best.row >= 0, exact, -np.inf), best.row
 
 

@@ -82,15 +82,16 @@ def vector_classes(packed: DataFrame, most: int) -> DataFrame:
     return told.groupBy("vec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, most).alias("ids"))
 
 
-def top_k(packed: DataFrame, is_query: str, k: int, dtype: str, search: Search, shard_rows: int, block_rows: int) -> DataFrame:
-    """(query_id, rank, vec_id, score double) of the k best of all other rows for each row that ``is_query`` names.
+def top_k(packed: DataFrame, is_query: str, k: int, dtype: str, search: Search, shard_rows: int, block_rows: int, score_type: str = "double") -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k best of all other rows for each row that ``is_query`` names.
 
     Best first, ties to smaller ids. A query's own row is no candidate, but rows with equal vectors are; rows that
-    repeat a query's id are no candidates for it, and an id that several query rows have is asked once.
+    repeat a query's id are no candidates for it, and an id that several query rows have is asked once,
+    with the least of their vectors by bytes.
     """
     packed = materialise(packed, "vectors")
     classes = materialise(vector_classes(packed, k + 1), "vector-classes")
-    queries = packed.where(is_query).select(F.col("vec_id").alias("query_id"), "vec").dropDuplicates(["query_id"])
+    queries = packed.where(is_query).select(F.col("vec_id").alias("query_id"), "vec").groupBy("query_id").agg(F.min("vec").alias("vec"))
     asked = materialise(queries.select("vec").distinct(), "query-vectors")
     shards, blocks = (max(1, -(-df.count() // rows)) for df, rows in ((classes, shard_rows), (asked, block_rows)))
     shard = F.pmod(F.xxhash64(F.lit("shard"), "vec"), F.lit(shards)).cast("int")
@@ -100,7 +101,7 @@ def top_k(packed: DataFrame, is_query: str, k: int, dtype: str, search: Search,
 
     def run(own: pa.Table, wanted: pa.Table) -> pa.Table:
         names = ["vec", "score", "vec_id"]
-        types = [pa.binary(), pa.float64(), pa.int64()]
+        types = [pa.binary(), pa.float64() if score_type == "double" else pa.int64(), pa.int64()]
         if not own.num_rows or not wanted.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, types, strict=True)})
         ids = own.column("ids").to_pylist()
@@ -116,7 +117,7 @@ def top_k(packed: DataFrame, is_query: str, k: int, dtype: str, search: Search,
                 out[0].append(key), out[1].append(-s), out[2].append(i)
         return pa.table({n: pa.array(c, t) for n, t, c in zip(names, types, out, strict=True)})
 
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, "vec binary, score double, vec_id long")
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, f"vec binary, score {score_type}, vec_id long")
     merged = found.withColumn("place", F.row_number().over(W.partitionBy("vec").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
     answers = merged.groupBy("vec").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("best"))
     own = queries.join(answers, "vec").select("query_id", F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k).alias("best"))

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm._common import materialise, new_path
+from fernweave.llm._common import join_unique, materialise, new_path
 
 # The magic number of the dictionary's frame, and the profile of revisits of equal payloads.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -42,8 +42,9 @@ def build_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES, level:
         return b"".join(samples)[:size] or b"WARC/1.1\r\nWARC-Type: response\r\n"
 
 
-def record_id(page_id: int | None, salt: bytes) -> str:
-    return f"<urn:page:{page_id}>" if page_id is not None else f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(salt).digest())}>"
+def record_id(page_id: int | None, digest: str, whole: bool = True) -> str:
+    """The id of a page's record: that of a response follows from page and payload, others are never used twice."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest if whole and page_id is not None else uuid.uuid4().hex}>"
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
@@ -51,12 +52,12 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, payload[:4096])}", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest, refers_to is None)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url))
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
-        head += [f"WARC-Refers-To: {record_id(refers_to, b'')}", f"WARC-Profile: {REVISIT_PROFILE}"]
+        head += [f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Profile: {REVISIT_PROFILE}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -129,7 +130,8 @@ def _header(block: bytes) -> dict[str, str]:
 
 
 def _page_of(urn: str | None) -> int | None:
-    return int(urn[10:-1]) if urn and urn.startswith("<urn:page:") else None
+    page = urn.split(":")[2] if urn and urn.startswith("<urn:page:") else ""
+    return int(page) if page else None
 
 
 def parse_record(record: bytes) -> tuple[int | None, str | None, str, bytes, int, str, int | None] | None:
@@ -152,7 +154,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
 
     Of pages with equal payloads of at least ``least_bytes`` bytes the one with the smallest id is archived whole, the
     others as revisits of it. A null html is an empty payload. Rows that repeat that smallest id are each archived
-    whole; null ids never become the one referred to, and pages without any id in their group are archived whole. A
+    whole, under one record id; null ids never become the one referred to, and pages without any id in their group are archived whole. A
     null url leaves the target out. An empty table gives no archives. Other columns are ignored. Archives that a lost
     task has left behind are not in the returned table, which is on disk when this returns.
     """
@@ -165,8 +167,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     samples = [record_bytes(k, f"https://www.example.com/{k}", r[0].encode("utf-8", "surrogatepass"), None, date) for k, r in enumerate(sample)]
     shared = spark.sparkContext.broadcast(build_dictionary(samples, level=level))  # DICTIONARY_BYTES at most
     key = F.sha2("html_", 256)
-    alike = picked.where(F.octet_length("html_") >= least_bytes).groupBy(key.alias("key")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("key", "first")
-    marked = picked.withColumn("key", key).join(alike, "key", "left").withColumn("refers_to", F.expr("case when id is null or id <> first then first end"))
+    large = picked.where(F.octet_length("html_") >= least_bytes).withColumn("key", key)
+    first = large.groupBy("key").agg(F.min("id").alias("first"))
+    marked = join_unique(large, first, "key").withColumn("refers_to", F.expr("case when id is null or id <> first then first end"))
+    marked = marked.select("id", "url", "html_", "refers_to").unionByName(picked.where(F.octet_length("html_") < least_bytes).withColumn("refers_to", F.lit(None).cast("long")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pafs.FileSystem.from_uri(folder)[0].create_dir(pafs.FileSystem.from_uri(folder)[1], recursive=True)

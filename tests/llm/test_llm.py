@@ -312,3 +312,189 @@ def test_pipeline_stages(spark):
         assert k == 4 or docs.columns == columns
     assert 0 < docs.select("doc_id").distinct().count() <= count
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").isEmpty()
+
+
+@pytest.mark.parametrize("name", ["even", "third", "half"])
+def test_plan_is_no_worse_than_best_fit_decreasing(name):
+    rng = np.random.default_rng(1)
+    lengths = {"even": rng.integers(1, 4097, 3000), "third": np.clip(rng.normal(4096 / 3, 80, 3300), 1, 4096).astype(int), "half": np.clip(rng.normal(2048, 150, 3000), 1, 4096).astype(int)}[name]
+    histogram = np.bincount(lengths, minlength=4097)
+    plan, packed = packing.plan_packing(histogram, 4096), np.zeros(4097, int)
+    for own, number in plan:
+        assert sum(own) <= 4096
+        np.add.at(packed, own, number)
+    assert (packed == histogram).all()
+    assert sum(number for _, number in plan) <= len(token_output.best_fit_decreasing(lengths, 4096))
+
+
+def test_matrices_hold_the_tokenizers_ids(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(TOKENIZER)
+    texts = [(i, t) for i, t in enumerate(["", "One two, three.", "naïve zürich 42 " * 70, "x" * 900, "a b c " * 200])] + [(1, "One two, three.")]
+    got = token_output.token_matrices(docs_of(spark, texts), TOKENIZER, capacity=128).collect()
+    pieces = []
+    for r in got:
+        row = token_output.matrix_of([r.input_ids], 128)[0]
+        assert (row[r.n_tokens :] == 49407).all()
+        pieces += [(i, at, row[a:b].tolist()) for i, at, a, b in zip(r.segment_ids, r.segment_starts, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True)]
+    want = []
+    for i, t in texts:
+        ids = [*whole.encode(t, add_special_tokens=False).ids, 49407]
+        want += [(i, k, ids[k : k + 128]) for k in range(0, len(ids), 128)]
+    assert sorted(pieces) == sorted(want)
+    lengths = np.array([len(p) for _, _, p in want])
+    open_ = []  # each piece, longest first, where the least room is left that holds it
+    for n in sorted(lengths, reverse=True):
+        fit = [k for k, room in enumerate(open_) if room >= n]
+        if fit:
+            open_[min(fit, key=lambda k: open_[k])] -= n
+        else:
+            open_.append(128 - n)
+    assert len(token_output.best_fit_decreasing(lengths, 128)) == len(open_)
+    with pytest.raises(Exception, match="16 bits"):
+        token_output.token_matrices(docs_of(spark, texts), TOKENIZER, end_id=1 << 17).collect()
+    assert token_output.token_matrices(docs_of(spark, texts).limit(0), TOKENIZER).count() == 0
+
+
+def test_prose_is_no_credential():
+    for text in ("the token bucket-algorithm is", "our secret self-sufficient garden", "token counts/limits/quotas", "the password is Wednesday-morning then", "password protection"):
+        assert not secret_scan.find_spans(text, secret_scan.LEAST_BITS)
+    for text, value in (("pwd:" + "kqxvtzrwpmldhgfbnzxcasdqweyuioplkjhgfdsa", 4), ("passphrase: KqXvTzRwPmLd", 12), ("the password is KqXvTzRwPmLd", 16), ("secret 'xK9#mQ2$vL7!pR4w'", 8), ("api_key => Zx81kdiw92KDkw", 11)):
+        assert (value, "credential") in [(a, k) for a, _, k in secret_scan.find_spans(text, secret_scan.LEAST_BITS)]
+    assert not secret_scan.find_spans("pwd: correcthorsebattery", secret_scan.LEAST_BITS, {w: k for k, w in enumerate(["correct", "horse", "battery"], 1)})
+
+
+def test_guess_cost_equals_enumeration():
+    words = {"pass": 1, "word": 2, "password": 3}
+    for value in ("password1", "pass1999", "aaaab1", "qwerty7x", "p4ssabc"):
+        spans = list(secret_scan._spans(value, words))
+        spans += [(i, i + 1, math.log2(secret_scan._alphabet(c)) - 1) for i, c in enumerate(value)]
+
+        def least(at, spans=spans, value=value):
+            return 0.0 if at == len(value) else min(cost + 1 + least(j) for i, j, cost in spans if i == at)
+
+        assert abs(secret_scan.guess_cost(value, words) - least(0)) < 1e-9
+
+
+def test_common_words_come_from_the_corpus(spark):
+    docs = docs_of(spark, [(1, "zebra apple apple Mixed k3y"), (2, "apple zebra."), (3, "apple"), (4, None), (5, "once")])
+    assert secret_scan.common_words(docs) == (*dict.fromkeys(secret_scan.COMMON), "apple", "zebra")
+    assert secret_scan.scan_secrets(docs.limit(0)).count() == 0
+    assert [r.spans for r in secret_scan.scan_secrets(docs.selectExpr("cast(null as long) doc_id", "text", "source spans")).collect()] == [""] * 5
+
+
+def test_pages_with_omitted_and_broken_tags():
+    texts = [[b[0] for b in html_text.leaf_blocks(p)] for p in ("<head><title>x</title><meta charset=utf-8><article><p>First one.</article>", "<p it's>First...<p>Second one isn't lost.</p>", "<p data-x=it's>Hello</p>", "<head>Text ends it<p>b", "<p title=\"a > b\">In</p>")]
+    assert texts == [["First one."], ["First...", "Second one isn't lost."], ["Hello"], ["Text ends it", "b"], ["In"]]
+    import time
+
+    begun = time.process_time()
+    for page in ("<b>" * 20_000 + "</x>" * 20_000 + "t", "<x><div>" + "<b>t" * 20_000 + "</x>" * 20_000, "<div class='a'>t" * 20_000):
+        assert html_text.leaf_blocks(page)
+    assert time.process_time() - begun < 6
+
+
+def test_exact_search_keeps_large_components(spark):
+    rows = [(0, [1e6, -1e6], 1, "c"), (1, [1.2e6, 3.0], 1, "c"), (2, [-1e6, 5.0], 1, "c"), (100, [1.0, 1.0], 1, "c"), (1, [1.2e6, 3.0], 1, "c")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int, vec string")
+    got = {(r.query_id, r.vec_id): r.score for r in max_score.exact_top_k(frame, "vec_id % 100 = 0", k=10).collect()}
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v, *_ in rows}
+    assert got == {(q, i): sum(a * b for a, b in zip(whole[q], whole[i], strict=True)) for q in (0, 100) for i in whole if i != q}
+    with pytest.raises(ValueError, match="too large"):
+        max_score.exact_top_k(spark.createDataFrame([(0, [1e300], 1, "c")], frame.schema), "vec_id = 0")
+
+
+def test_restoring_equals_enumeration():
+    counts = toxicity.trigram_counts(["the idiot is an idiot and the moron said so to the people of the town"] * 20)
+    table = toxicity.character_model(counts).tolist()
+    for token in ("1d10t", "m0r0n", "th3", "i.d.i.0.t", "t0wnn"):
+        readings = [("", 0.0, (0, 0))]
+        last = ""
+        for c in token:
+            options = [(c, 0.0)] * c.isalpha() + [(x, toxicity.SIGN) for x in toxicity.LOOKALIKES.get(c, "") if not c.isalpha()]
+            options += [("", toxicity.REPEAT)] * (c == last and (c.isalpha() or c in toxicity.LOOKALIKES))
+            if not c.isalpha() and (c in toxicity.SEPARATORS or c not in toxicity.LOOKALIKES):
+                options += [("", toxicity.JOIN), (" ", toxicity.GAP)]
+            last, grown = c, []
+            for read, score, (a, b) in readings:
+                for out, cost in options:
+                    k = toxicity._code(out) if out else None
+                    grown.append((read + out, score + cost + (table[a][b][k] if out else 0), ((b, k) if k and b else (0, k)) if out else (a, b)))
+            readings = grown
+        best = max(readings, key=lambda r: (r[1] + table[r[2][0]][r[2][1]][0], r[0]))
+        assert toxicity.restore(token, table) == best[0]
+
+
+def test_one_row_of_each_group_stays(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 2
+    rows = [(4, near), (4, near), (2, near + "zz"), (2, near + "zz"), (None, near), (None, "only null ids have this text"), (None, "only null ids have this text"), (7, ""), (7, ""), (None, None), (9, "w " * 100_000)]
+    kept = [(r.doc_id, r.text) for r in jaccard_join.one_of_each_group(docs_of(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(2, near + "zz"), (None, "only null ids have this text"), (7, ""), (7, ""), (None, None), (9, "w " * 100_000)], key=str)
+    assert jaccard_join.one_of_each_group(docs_of(spark, rows).limit(0)).count() == 0
+
+
+def test_pipeline_equals_a_plain_chain(spark, tmp_path):
+    """Each stage of run() on a small corpus against a plain statement of what it has to do."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([8, 40, 200]))), "en", "abc"[i % 3]) for i in range(120)]
+    rows += [(200 + i, rows[i][1], "en", "a") for i in range(10)] + [(300 + i, rows[i][1] + " tail", "en", None) for i in range(10) if len(rows[i][1].split()) > 30]
+    rows += [(400 + i, f"you are an idiot number {i} " + rows[i][1], "en", "b") for i in range(30)]
+    rows += [(500, "password: hunter2hunter2hunter2 end of it", "en", "c"), (501, None, None, None), (502, "", "en", "a"), (503, "w1 " * 9000, "en", "b")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, int(400 <= i < 430)) for i, *_ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    folder, stage = str(tmp_path), dict(corpus_pipeline.STAGES)
+    seen = {}
+    for name, step in corpus_pipeline.STAGES:
+        docs = step(spark, docs, folder)
+        docs.write.parquet(f"{tmp_path}/{len(seen)}")
+        docs = spark.read.parquet(f"{tmp_path}/{len(seen)}")
+        seen[name] = docs.collect()
+    assert list(seen) == list(stage)
+    clean = {r.doc_id for r in seen["toxicity"]}
+    assert clean == {i for i, *_ in rows if not 400 <= i < 430}
+    texts = {i: t for i, t, *_ in rows if i in clean}
+    groups = brute_components(list(texts.items()), 5, 8, 10)
+    assert {r.doc_id for r in seen["n-gram Jaccard join"]} == {i for i, (_, c) in groups.items() if c == i}
+    masked = {r.doc_id: r.text for r in seen["secret scan"]}
+    assert masked == {i: texts[i] if i != 500 else "[assign] end of it" for i in masked} and len(masked) == len(seen["n-gram Jaccard join"])
+    mixed = seen["source mixing"]
+    sizes = {i: len((t or "").split()) for i, t in masked.items()}
+    source = {i: s for i, _, _, s in rows}
+    copies = {i: sum(r.doc_id == i for r in mixed) for i in masked}
+    assert max(copies.values()) <= 3
+    whole = sum(sizes.values())
+    own = {s: sum(n for i, n in sizes.items() if source[i] == s) for s in ("a", "b", "c", None)}
+    target, weight, full = {}, {"a": 5, "b": 2, "c": 1, None: 5}, set()
+    while True:
+        rest = whole - sum(3 * own[s] for s in full)
+        share = {s: 3 * own[s] if s in full else rest * weight[s] / sum(weight[x] for x in own if x not in full) for s in own}
+        more = {s for s in own if s not in full and share[s] > 3 * own[s]}
+        if not more:
+            target = share
+            break
+        full |= more
+    for s, wanted in target.items():
+        taken = sum(copies[i] * sizes[i] for i in masked if source[i] == s)
+        assert abs(taken - wanted) <= max([0.05 * wanted, *(n for i, n in sizes.items() if source[i] == s)])
+    from tokenizers import Tokenizer
+
+    tokens, want = Tokenizer.from_file(TOKENIZER), []
+    for r in mixed:
+        ids = [*tokens.encode(r.text or "", add_special_tokens=False).ids, 1]
+        want += [(r.doc_id, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(np.array(ids[k : k + 4096], "<u4").tobytes())) for k in range(0, len(ids), 4096)]
+    packed = seen["best-fit packing"]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == sorted(want)
+    places = {}
+    for r in packed:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own_places in places.values():
+        at = 0
+        for offset, length in sorted(own_places):
+            assert offset == at
+            at += length
+        assert at <= 4096
