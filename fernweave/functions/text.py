@@ -88,8 +88,9 @@ def is_follow_up(text: Column) -> Column:
 
 
 def route(text: Column, collecting: Column, has_history: Column, refresh: Column) -> Column:
-    """The intent of a turn: direct, lead, running lead, out of scope, refresh, question, in this order."""
-    low, text = F.lower(F.trim(text)), F.trim(text)
+    """The intent of a turn: direct, lead, running lead, out of scope, refresh, question, in this order; none for no text."""
+    text = F.trim(F.coalesce(text, F.lit("")))
+    low = F.lower(text)
     asks = F.contains(text, F.lit("?")) | has_any(low, PRODUCT_ASKED)
     related = has_any(low, PRODUCT_TERMS) | (has_history & is_follow_up(text))
     return (
@@ -99,9 +100,10 @@ def route(text: Column, collecting: Column, has_history: Column, refresh: Column
 
 
 def redacted(text: Column) -> Column:
-    """Phone numbers and incomes masked."""
-    text = F.regexp_replace(text, r"(?:\+66|0066|0)\d[\d\s().-]{7,13}", "[redacted-phone]")
-    return F.regexp_replace(text, r"(?iu)(รายได้|income|เงินเดือน)\s*[:=]?\s*\d[\d,]*(?:\.\d+)?\s*(?:บาท|THB|USD|ดอลลาร์)?", "$1 [redacted-income]")
+    """Phone numbers and incomes masked, in digits of any script."""
+    # How phone numbers and incomes are written.
+    text = F.regexp_replace(text, r"(?U)(?:\+66|0066|0)\d[\d\s().-]{7,13}", "[redacted-phone]")
+    return F.regexp_replace(text, r"(?iuU)(รายได้|income|เงินเดือน)\s*[:=]?\s*\d[\d,]*(?:\.\d+)?\s*(?:บาท|THB|USD|ดอลลาร์)?", "$1 [redacted-income]")
 
 
 def secrets_masked(text: Column) -> Column:
@@ -112,9 +114,9 @@ def secrets_masked(text: Column) -> Column:
 
 def national_phone(text: Column) -> Column:
     """A national number of nine or ten digits from 0; null where a text is none."""
-    digits = F.regexp_replace(text, r"[\s().-]", "")
+    digits = F.regexp_replace(text, r"(?U)[\s().-]", "")
     digits = F.regexp_replace(F.regexp_replace(digits, r"^\+66", "0"), "^0066", "0")
-    return F.when(digits.rlike(r"^0\d{8,9}$"), digits)
+    return F.when(digits.rlike(r"(?U)\A0\d{8,9}\z"), digits)
 
 
 def masked_phone(phone: Column) -> Column:
@@ -188,5 +190,6 @@ def missing_fields(fields: list[str]) -> Column:
 def is_safe_question(text: Column) -> Column:
     """A suggestion of at most 140 letters without contact data or terms of lead collection."""
     low = F.lower(text)
+    # Terms of lead collection
     lead = has_any(low, ("ชื่อ", "อาชีพ", "รายได้", "เบอร์", "โทรศัพท์", "phone", "income"))
     return (F.length(F.trim(text)) > 0) & (F.length(text) <= 140) & ~lead & ~has_any(low, INTEREST) & ~text.rlike(r"\d{7,}|[\w.+-]+@[\w.-]+")

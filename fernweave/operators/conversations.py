@@ -57,3 +57,82 @@ def is_stale(verified: Column, updated: Column, created: Column, now: Column, da
     """Whether the last known time is at least so many days ago; a time that cannot be read is stale."""
     last = F.coalesce(*[F.try_to_timestamp(c.cast("string")) for c in (verified, updated, created)])
     return F.coalesce(last <= now - F.make_interval(days=F.lit(days)), F.lit(True))
+
+
+def staff_inbox(accounts: DataFrame, sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """Every customer with their active session, if any, its messages and when the last one came; the latest first.
+
+    accounts: (owner_id, username, account_role); sessions: (session_id, owner_id, status, last_active_at); messages:
+    (session_id, created_at). The status is a condition of the join, so that customers without a session stay.
+    """
+    own = accounts.where("account_role = 'customer'").select("owner_id", "username")
+    active = sessions.where("status = 'active'").select("owner_id", "session_id", "last_active_at")
+    told = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("message_count"), F.max("created_at").alias("last_message_at"))
+    joined = own.join(active, "owner_id", "left").join(told, "session_id", "left")
+    rows = joined.select("owner_id", "username", "session_id", "last_active_at", F.coalesce("message_count", F.lit(0)).alias("message_count"), "last_message_at")
+    return rows.orderBy(F.coalesce("last_message_at", "last_active_at").desc_nulls_last(), "username")
+
+
+def open_handoffs(cases: DataFrame, accounts: DataFrame) -> DataFrame:
+    """The newest case of each session that is pending or active, with the name of the staff it is assigned to."""
+    newest = cases.where(F.col("status").isin("pending", "active")).groupBy("session_id").agg(F.max_by(F.struct(*cases.columns), "case_id").alias("c")).select("c.*")
+    return newest.join(accounts.select(F.col("owner_id").alias("assigned_staff_id"), F.col("username").alias("assigned_staff_name")), "assigned_staff_id", "left")
+
+
+def staff_queue(cases: DataFrame, sessions: DataFrame, accounts: DataFrame, messages: DataFrame, staff: Column) -> DataFrame:
+    """Open cases of active sessions of customers that a member of staff may see, with messages counted; pending first."""
+    seen = cases.where((F.col("status") == "pending") | ((F.col("status") == "active") & (F.col("assigned_staff_id") == staff)))
+    customers = accounts.where("account_role = 'customer'").select("owner_id", F.col("username").alias("customer_name"))
+    names = accounts.select(F.col("owner_id").alias("assigned_staff_id"), F.col("username").alias("assigned_staff_name"))
+    told = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("message_count"), F.max("created_at").alias("last_message_at"))
+    joined = seen.join(sessions.where("status = 'active'").select("session_id", "owner_id"), "session_id").join(customers, "owner_id").join(names, "assigned_staff_id", "left").join(told, "session_id", "left")
+    rows = joined.select("case_id", "session_id", "status", "created_at", "assigned_staff_id", F.col("owner_id").alias("customer_id"), "customer_name", "assigned_staff_name", F.coalesce("message_count", F.lit(0)).alias("message_count"), "last_message_at")
+    return rows.orderBy(F.when(F.col("status") == "pending", 0).otherwise(1), F.coalesce("last_message_at", "created_at").desc(), "case_id")
+
+
+def product_history(messages: DataFrame, sessions: DataFrame, lead_like: Column, masked: Column, known: Column, most: int = 8, cut: int = 300) -> DataFrame:
+    """(owner_id, turn, text): of each owner's last user messages in active sessions those about products, masked and cut.
+
+    messages: (session_id, turn, role, text, purpose). lead_like, masked and known are columns over the text: whether it
+    is of a lead, the text without contact data, whether it names a known product.
+    """
+    own = messages.where("role = 'user'").join(sessions.where("status = 'active'").select("session_id", "owner_id"), "session_id")
+    last = own.withColumn("back", F.row_number().over(W.partitionBy("owner_id").orderBy(F.desc("session_id"), F.desc("turn")))).where(F.col("back") <= most)
+    return last.where(~lead_like & ((F.col("purpose") == "product") | known)).select("owner_id", "session_id", "turn", F.substring(masked, 1, cut).alias("text"))
+
+
+def closed_vocabulary(texts: DataFrame, products: list[str], topics: list[str]) -> DataFrame:
+    """Which listed products and topics each text names, in the order of the lists; nothing else of it is handed on."""
+
+    def named(terms: list[str]) -> Column:
+        return F.filter(F.array(*[F.when(F.contains(F.lower("text"), F.lit(t.lower())), t) for t in terms]), lambda x: x.isNotNull())
+
+    return texts.select(*[c for c in texts.columns if c != "text"], named(products).alias("products"), named(topics).alias("topics"))
+
+
+def with_sessions(accounts: DataFrame, sessions: DataFrame, now: Column) -> DataFrame:
+    """sessions with a new active one for each customer without any; staff get none."""
+    lacking = accounts.where("account_role = 'customer'").join(sessions.where("status = 'active'").select("owner_id").distinct(), "owner_id", "left_anti")
+    return sessions.unionByName(lacking.select(F.concat(F.lit("s-"), F.col("owner_id").cast("string")).alias("session_id"), "owner_id", F.lit("active").alias("status"), now.alias("last_active_at")))
+
+
+def annotated(messages: DataFrame, turns: DataFrame) -> DataFrame:
+    """messages (request_id, purpose, metadata) with purpose and citations of turns (request_id, purpose, citations).
+
+    A turn's answer has the request id with ``:assistant`` behind it. Messages of other requests stay as they are.
+    """
+    told = turns.select(F.explode(F.array(F.col("request_id"), F.concat("request_id", F.lit(":assistant")))).alias("request_id"), F.col("purpose").alias("new_purpose"), F.to_json(F.struct("citations")).alias("new_metadata"))
+    joined = messages.join(told, "request_id", "left")
+    return joined.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in ("purpose", "metadata") else F.col(c) for c in messages.columns])
+
+
+def refresh_requested(profiles: DataFrame, owners: DataFrame, now: Column) -> DataFrame:
+    """profiles with refresh_requested_at set for the owners who have none yet."""
+    joined = profiles.join(owners.select("owner_id").distinct().withColumn("asked_", F.lit(True)), "owner_id", "left")
+    return joined.withColumn("refresh_requested_at", F.when(F.col("asked_"), F.coalesce("refresh_requested_at", now)).otherwise(F.col("refresh_requested_at"))).drop("asked_")
+
+
+def authorised(requests: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Requests (session_id, access_token) for active sessions whose token has the stored hash."""
+    held = sessions.where("status = 'active'").select("session_id", "token_hash")
+    return requests.withColumn("token_hash", F.sha2("access_token", 256)).join(held, ["session_id", "token_hash"], "left_semi").drop("token_hash")

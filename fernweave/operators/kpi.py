@@ -21,6 +21,18 @@ def with_rule(performance: DataFrame, rules: DataFrame) -> DataFrame:
     return performance.join(rules, held, "left")
 
 
+def with_one_rule(performance: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rule valid in each month; a month with no rule or with several is refused: the query fails and names it.
+
+    Rules are looked up once for each distinct month, of which there are few.
+    """
+    rule = [c for c in rules.columns]
+    months = with_rule(performance.select("month_start").distinct(), rules).groupBy("month_start").agg(F.count("rule_id").alias("n_"), F.first(F.struct(*rule), ignorenulls=True).alias("rule_"))
+    refusal = F.raise_error(F.concat(F.lit("exactly one rule must be valid in "), F.col("month_start").cast("string")))
+    one = months.select("month_start", F.when(F.col("n_") == 1, F.col("rule_")).otherwise(refusal).alias("rule_"))
+    return performance.join(one, "month_start").select(*performance.columns, *[F.col("rule_")[c].alias(c) for c in rule])
+
+
 def overlapping_rules(rules: DataFrame) -> DataFrame:
     """Rules that begin before the one before has ended."""
     order = W.orderBy("valid_from", "rule_id")
@@ -83,6 +95,12 @@ def contract_events(streaks: DataFrame) -> DataFrame:
 
 
 def kpi_report(agents: DataFrame, results: DataFrame, events: DataFrame) -> DataFrame:
-    """Each agent's months with the contract event that takes effect in them, if any; money in units of 100."""
+    """Each agent's months with the contract event that takes effect in them, if any; money in units of 100; in order.
+
+    Where results have ``is_current`` and events ``superseded_at``, only current ones meet; both are conditions of the
+    joins, so that a month whose event is superseded stays without one.
+    """
+    results = results.where("is_current") if "is_current" in results.columns else results
+    events = events.where("superseded_at is null") if "superseded_at" in events.columns else events
     joined = agents.join(results, "agent_id").join(events.select("agent_id", F.col("effective_from").alias("month_start"), "to_type"), ["agent_id", "month_start"], "left")
-    return joined.select("agent_id", "agent_name", "month_start", (F.col("premium") / 100.0).alias("premium"), "policies", "result", "pass_streak", "fail_streak", "to_type")
+    return joined.select("agent_id", "agent_name", "month_start", (F.col("premium") / 100.0).alias("premium"), "policies", "result", "pass_streak", "fail_streak", "to_type").orderBy("agent_id", "month_start")

@@ -17,9 +17,18 @@ def latest(frame: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return frame.withColumn("place_", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("place_ = 1").drop("place_")
 
 
-def upsert(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``incoming`` replace those of ``current`` with their key; others are kept or added."""
-    return current.join(incoming.select(*keys).distinct(), keys, "left_anti").unionByName(incoming)
+def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Rows of ``incoming`` replace those of ``current`` with their key; others are kept or added.
+
+    Of incoming rows with one key the first in the order stays (by default that with the largest content hash). Null
+    keys are equal to each other.
+    """
+    first = latest(incoming, keys, order or [content_hash(incoming.columns).desc()])
+    came = first.select(*[F.col(k).alias(f"{k}_new_") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_new_"))
+    return current.join(came, same, "left_anti").unionByName(first)
 
 
 def insert_or_ignore(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:

@@ -32,7 +32,7 @@ def performance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def evaluated(spark: SparkSession, folder: str) -> DataFrame:
-    own = K.with_rule(performance(spark, folder).join(agents(spark, folder), "agent_id"), F.broadcast(rules(spark)))  # the list of rules above
+    own = K.with_one_rule(performance(spark, folder).join(agents(spark, folder), "agent_id"), F.broadcast(rules(spark)))  # the list of rules above
     return K.with_streaks(K.judged(own, K.is_pending(F.lit("2001-06-30").cast("date"))))
 
 

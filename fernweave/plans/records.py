@@ -52,30 +52,64 @@ def chunks(s: SparkSession, d: str) -> DataFrame:
 
 
 def asked_terms(s: SparkSession, d: str) -> DataFrame:
-    first = read_table(s, d, "benchmark").where("item_id <= 5").select(F.col("item_id").alias("query_id"), F.slice(T.latin_terms(F.col("text")), 1, 6).alias("terms"))
-    return first.select("query_id", F.explode("terms").alias("term"))
+    """Every term of every benchmark text: a stated set of queries."""
+    return read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.query_terms(F.col("text"))).alias("term"))
 
 
-def vectors(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def vectors(s: SparkSession, d: str, asked: str = "vec_id % 20 = 0") -> tuple[DataFrame, DataFrame]:
+    """Vectors that are asked for, and all of them."""
     own = read_table(s, d, "embeddings")
-    return own.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), own.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    return own.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), own.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
 
 
 def rankings(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Two rankings of chunks for a query: by length and by id."""
-    own = chunks(s, d).where("chunk_id % 2 = 0").select(F.lit(1).alias("query_id"), "chunk_id", F.length("text").alias("size"))
-    return own.select("query_id", "chunk_id", F.expr("row_number() over (order by size desc, chunk_id)").alias("place")).where("place <= 15"), own.select("query_id", "chunk_id", F.expr("row_number() over (order by chunk_id)").alias("place")).where("place <= 15")
+    """Two rankings for each benchmark text: the 15 nearest to the vector with its id, and all chunks by their terms."""
+    items = read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    asked, own = vectors(s, d, "true")
+    return R.semantic_top_k(asked.join(items, "query_id", "left_semi"), own, 15), R.bm25(asked_terms(s, d), chunks(s, d))
+
+
+def gated(s: SparkSession, d: str) -> DataFrame:
+    """Whether the ten best chunks of each benchmark text bear it."""
+    asked = read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = R.bm25(asked_terms(s, d), chunks(s, d)).where("place <= 10").select("query_id", "chunk_id").join(chunks(s, d), "chunk_id")
+    return R.evidence_gate(asked, found.select("query_id", F.col("lang").alias("product_id"), F.lit("").alias("product_name"), "text", F.lit(0.5).alias("score")))
 
 
 SCORE_SQL = "list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))"
-BM25_SQL = """WITH b AS (SELECT doc_id AS chunk_id, lower(text) AS body, length(text) AS size FROM documents WHERE text IS NOT NULL),
-w AS (SELECT count(*) AS n, avg(size) AS mean_size FROM b),
-t AS (SELECT item_id AS query_id, unnest(list_slice(list_distinct_in_order, 1, 6)) AS term FROM (
-  SELECT item_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_in_order FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS l FROM benchmark WHERE item_id <= 5))),
-h AS (SELECT chunk_id, size, term, CAST((length(body) - length(replace(body, term, ''))) / length(term) AS BIGINT) AS f FROM b, (SELECT DISTINCT term FROM t) WHERE contains(body, term)),
+RANKED_SQL = """b AS (SELECT doc_id AS chunk_id, lower(regexp_replace(strip_accents(text), '\\s+', '', 'g')) AS body FROM documents WHERE text IS NOT NULL),
+w AS (SELECT count(*) AS n, avg(length(body)) AS mean_size FROM b),
+t AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]{2,}'))) AS term FROM benchmark),
+h AS MATERIALIZED (SELECT chunk_id, length(body) AS size, term, CAST((length(body) - length(replace(body, term, ''))) / length(term) AS BIGINT) AS f FROM b, (SELECT DISTINCT term FROM t) WHERE contains(body, term)),
 d AS (SELECT term, count(*) AS df FROM h GROUP BY 1),
-p AS (SELECT query_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * size / mean_size))) AS score FROM t JOIN h USING (term) JOIN d USING (term), w GROUP BY 1, 2)
-SELECT query_id, chunk_id, round(score, 6) AS score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS place FROM p) WHERE place <= 10"""
+p AS (SELECT query_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * size / mean_size))) AS score FROM t JOIN h USING (term) JOIN d USING (term), w GROUP BY 1, 2),
+lexical AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS place FROM p)"""
+LOCKED_SQL = """WITH RECURSIVE a AS (SELECT user_id, event_id, epoch_us(ts) AS at, event_type = 'signup' AS good, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('error', 'signup')),
+s AS (SELECT user_id, event_id, k, CASE WHEN good THEN 0 ELSE 1 END AS failures, CAST(NULL AS BIGINT) AS until, CASE WHEN good THEN 'ok' ELSE 'failed' END AS outcome FROM a WHERE k = 1
+  UNION ALL
+  SELECT a.user_id, a.event_id, a.k,
+    CASE WHEN a.at < s.until THEN s.failures WHEN good THEN 0 ELSE s.failures + 1 END,
+    CASE WHEN a.at < s.until THEN s.until WHEN NOT good AND s.failures + 1 >= 5 THEN a.at + 60000000 END,
+    CASE WHEN a.at < s.until THEN 'rejected' WHEN good THEN 'ok' WHEN s.failures + 1 >= 5 THEN 'locked' ELSE 'failed' END
+  FROM s JOIN a ON a.user_id = s.user_id AND a.k = s.k + 1)
+SELECT user_id, event_id, outcome FROM s"""
+
+
+def _any_sql(text: str, terms: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{t}')" for t in terms) + ")"
+
+
+def _in_sql(text: str, terms: tuple[str, ...]) -> str:
+    return f"{text} IN ({', '.join(f"'{t}'" for t in terms)})"
+
+
+ROUTED_SQL = f"""WITH m AS (SELECT *, trim(coalesce(text, '')) AS said, lower(trim(coalesce(text, ''))) AS low, regexp_replace(lower(trim(coalesce(text, ''))), '[\\s!?.,;:]+', '', 'g') AS compact FROM conversations),
+d AS (SELECT *, CASE WHEN compact = '' THEN NULL WHEN {_any_sql("compact", T.HANDOFF)} THEN 'human_handoff' WHEN {_in_sql("compact", T.GREETINGS)} THEN 'greeting' WHEN starts_with(compact, 'ขอบคุณ') OR {_in_sql("compact", T.THANKS)} THEN 'thanks'
+  WHEN {_in_sql("compact", T.FAREWELLS)} THEN 'goodbye' WHEN {_in_sql("compact", T.HELP)} THEN 'help' END AS direct,
+  contains(said, '?') OR {_any_sql("low", T.PRODUCT_ASKED)} AS asks, {_any_sql("low", T.INTEREST)} AND NOT {_any_sql("low", T.NO_INTEREST)} AND NOT {_any_sql("low", T.INTEREST_ASKED)} AS keen,
+  {_any_sql("low", T.PRODUCT_TERMS)} OR (turn > 0 AND {_any_sql("low", T.FOLLOW_UP)}) AS related FROM m)
+SELECT CASE WHEN direct IS NOT NULL THEN direct WHEN keen AND NOT asks THEN 'lead' WHEN turn % 5 = 4 AND NOT asks THEN 'lead' WHEN NOT related THEN CASE WHEN said = '' THEN 'unsupported' ELSE 'out_of_scope' END ELSE 'question' END AS intent, count(*) AS messages FROM d GROUP BY 1"""
+REDACTED_SQL = """SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(?:\\+66|0066|0)\\d[\\d\\s().-]{7,13}', '[redacted-phone]', 'g'), '(?i)(รายได้|income|เงินเดือน)\\s*[:=]?\\s*\\d[\\d,]*(?:\\.\\d+)?\\s*(?:บาท|THB|USD|ดอลลาร์)?', '\\1 [redacted-income]', 'g')) AS redacted FROM documents"""
 
 QUERIES = {
     "inbox": lambda s, d: V.inbox(messages(s, d), sessions(s, d)),
@@ -108,7 +142,7 @@ QUERIES = {
     "lexical_top": lambda s, d: R.bm25(asked_terms(s, d), chunks(s, d)).where("place <= 10").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "place"),
     "fused_top": lambda s, d: R.fused(*rankings(s, d), 5).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "place"),
     "alias_matches": lambda s, d: R.alias_matches(read_table(s, d, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_type").alias("text")), read_table(s, d, "part").select(F.col("p_brand").alias("product_id"), F.col("p_type").alias("alias")).distinct()),
-    "evidence_gate": lambda s, d: R.evidence_gate(read_table(s, d, "benchmark").where("item_id <= 20").select(F.col("item_id").alias("query_id"), "text"), chunks(s, d).select((F.col("chunk_id") % 20).alias("query_id"), F.col("lang").alias("product_id"), F.lit("").alias("product_name"), "text", F.lit(0.5).alias("score"))),
+    "evidence_gate": gated,
     "index_refresh": lambda s, d: R.refreshed_index(chunks(s, d).where("chunk_id % 3 <> 0").select("chunk_id", F.sha2("text", 256).alias("content_hash")), chunks(s, d).where("chunk_id % 5 <> 0").select("chunk_id", F.sha2(F.when(F.col("chunk_id") % 7 == 0, F.lower("text")).otherwise(F.col("text")), 256).alias("content_hash"))),
     "page_chunks": lambda s, d: R.chunked(read_table(s, d, "documents").select("doc_id", F.lit(1).alias("page_number"), "text")),
     "page_links": lambda s, d: S.page_links(read_table(s, d, "pages")),
@@ -145,9 +179,12 @@ ORACLE_SQL = {
     "masked_phones": "SELECT c_custkey, CASE WHEN regexp_full_match('08' || lpad(CAST(c_custkey AS VARCHAR), 7, '1'), '0\\d{8,9}') THEN '08' || substr(lpad(CAST(c_custkey AS VARCHAR), 7, '1'), 1, 1) || '*****' || right(lpad(CAST(c_custkey AS VARCHAR), 7, '1'), 2) END AS phone FROM customer",
     "slugs": "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part",
     "term_counts": "SELECT doc_id, CAST((length(text) - length(replace(lower(text), 'er', ''))) / 2 AS BIGINT) AS n FROM documents",
-    "semantic_top": f"SELECT query_id, chunk_id, round(score, 6) AS score, CAST(place AS INTEGER) AS place FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {SCORE_SQL} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {SCORE_SQL} DESC, c.vec_id) AS place FROM embeddings q, embeddings c WHERE q.vec_id < 10) WHERE place <= 5",
-    "lexical_top": BM25_SQL,
-    "fused_top": "WITH b AS (SELECT doc_id AS chunk_id, length(text) AS size FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0), r AS (SELECT chunk_id, 0.7 AS w, row_number() OVER (ORDER BY size DESC, chunk_id) AS place FROM b UNION ALL SELECT chunk_id, 0.3, row_number() OVER (ORDER BY chunk_id) FROM b), f AS (SELECT chunk_id, sum(CAST(w AS DOUBLE) / (60 + place)) AS score FROM r WHERE place <= 15 GROUP BY 1) SELECT 1 AS query_id, chunk_id, round(score, 9) AS score, CAST(row_number() OVER (ORDER BY round(score, 12) DESC, chunk_id) AS INTEGER) AS place FROM f QUALIFY place <= 5",
+    "semantic_top": f"SELECT query_id, chunk_id, round(score, 6) AS score, CAST(place AS INTEGER) AS place FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {SCORE_SQL} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {SCORE_SQL} DESC, c.vec_id) AS place FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0) WHERE place <= 5",
+    "lexical_top": f"WITH {RANKED_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(place AS INTEGER) AS place FROM lexical WHERE place <= 10",
+    "fused_top": f"WITH {RANKED_SQL}, semantic AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {SCORE_SQL} DESC, c.vec_id) AS place FROM embeddings q JOIN benchmark ON item_id = q.vec_id, embeddings c), r AS (SELECT query_id, chunk_id, 0.7 AS w, place FROM semantic WHERE place <= 15 UNION ALL SELECT query_id, chunk_id, 0.3, place FROM lexical), f AS (SELECT query_id, chunk_id, sum(CAST(w AS DOUBLE) / (60 + place)) AS score FROM r GROUP BY 1, 2) SELECT query_id, chunk_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS INTEGER) AS place FROM f QUALIFY place <= 5",
+    "routed_messages": ROUTED_SQL,
+    "redacted_texts": REDACTED_SQL,
+    "locked_logins": LOCKED_SQL,
     "alias_matches": "WITH a AS (SELECT DISTINCT p_brand AS product_id, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS alias FROM part), q AS (SELECT p_partkey AS query_id, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS text FROM part) SELECT DISTINCT query_id, product_id FROM q JOIN a ON contains(text, alias) QUALIFY rank() OVER (PARTITION BY query_id ORDER BY length(alias) DESC) = 1",
     "index_refresh": "WITH s AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 0), c AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN lower(text) ELSE text END) AS h FROM documents WHERE text IS NOT NULL AND doc_id % 5 <> 0) SELECT coalesce(s.doc_id, c.doc_id) AS chunk_id, CASE WHEN c.doc_id IS NULL THEN 'delete' WHEN s.doc_id IS NULL THEN 'insert' WHEN s.h <> c.h THEN 'update' ELSE 'keep' END AS action FROM s FULL JOIN c ON s.doc_id = c.doc_id",
     "page_links": "SELECT url, max(page_id) AS page_id FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS url FROM pages) GROUP BY 1",

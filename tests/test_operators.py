@@ -2,11 +2,15 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from fernweave.functions import text as T
+from fernweave.operators import answers as A
 from fernweave.operators import campaign as C
+from fernweave.operators import conversations as V
 from fernweave.operators import kpi as K
+from fernweave.operators import leads as L
 from fernweave.operators import retrieval as R
 from fernweave.operators import tables as D
 from fernweave.streaming import events as E
@@ -147,3 +151,91 @@ def test_windows_run_on_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("hours").count() == E.tumbling(events).count()
+
+
+def test_lead_turns(spark):
+    said = [
+        (1, 0, "สนใจครับ ชื่อ สมชาย ใจดี อาชีพ วิศวกร รายได้ 50,000 บาทต่อเดือน เบอร์ 081-234-5678", "p1"), (1, 1, "ยืนยัน", "p1"), (1, 2, "รายได้ 60000", "p1"),
+        (2, 0, "name: Ann Lee occupation: nurse income: 15-25 THB per month", None), (2, 1, "ใช่", None), (2, 2, "ยกเลิกครับ", None), (3, 0, None, None), (3, 1, "ไม่ยืนยัน", None),
+    ]
+    own = L.drafts(spark.createDataFrame(said, "owner_id long, turn long, text string, product_id string"))
+    rows = {(r.owner_id, r.turn): r for r in own.select("*", L.errors().alias("errors"), L.summary().alias("summary"), L.prompt(F.col("missing")).alias("prompt"), L.fingerprint().alias("mark")).collect()}
+    first = rows[1, 0]
+    assert (first.name, first.occupation, float(first.income), first.income_currency, first.income_period, first.phone) == ("สมชาย ใจดี", "วิศวกร", 50000.0, "THB", "monthly_thb", "081-234-5678")
+    assert first.missing == [] and first.errors == ["lead confirmation is required before save"] and rows[1, 1].status == "confirmed" and rows[1, 1].errors == []
+    assert rows[1, 2].status == "unconfirmed" and rows[1, 2].missing == ["income_currency", "income_period"] and rows[1, 2].mark != first.mark == rows[1, 1].mark
+    assert rows[2, 0].missing == ["income_confirmation", "phone", "product_id"] and rows[2, 1].status == "unconfirmed" and rows[2, 2].status == "cancelled"
+    assert rows[2, 0].summary == "ชื่อ: Ann Lee | อาชีพ: nurse | รายได้: 15.00–25.00 THB / monthly_thb"
+    assert rows[3, 1].status == "unconfirmed" and rows[3, 0].prompt.startswith("ชื่อ, อาชีพ, รายได้")
+    saved = own.where("owner_id = 1 and turn = 0").select(F.lit(9).cast("long").alias("owner_id"), *L.FIELDS)
+    assert {r.owner_id: r.source for r in L.latest_drafts(own, saved).collect()} == {1: "draft", 2: "draft", 3: "draft", 9: "lead"}
+
+
+def test_answers_rest_on_evidence(spark):
+    checks = [
+        ("ชำระเบี้ย 20 ปี", "ระยะเวลาชำระเบี้ย 20 ปี", None), ("ชำระเบี้ย 20 ปี", "คุ้มครอง 20 ปี", "20ปี"), ("รับอายุ 16 - 60 ปี", "อายุรับ 16 – 60 ปี", None), ("รับอายุ 16 - 60 ปี", "อายุรับ 16 - 65 ปี", "16ปี"),
+        ("เบี้ย 1,200 บาท", "ตาราง premium แผน 1200 บาท", None), ("แผน 3", "แผน 3", None), ("คุ้มครองมะเร็ง", "ไม่คุ้มครองมะเร็ง", "คุ้มครองมะเร็ง"), ("", "", None), ("90", "19001", "90"),
+    ]
+    for answer, evidence, claim in checks[:3] + checks[4:]:
+        assert A.unsupported_claim(answer, evidence) == claim, (answer, evidence)
+    assert A.unsupported_claim(*checks[3][:2]) is not None
+    answers = spark.createDataFrame([(1, "ชำระ 5 ปี"), (2, "ชำระ 6 ปี"), (3, None)], "answer_id long, text string")
+    cited = spark.createDataFrame([(1, "c", "ชำระ 5 ปี"), (2, "c", "ชำระ 5 ปี")], "answer_id long, chunk_id string, text string")
+    assert [(r.answer_id, r.claim) for r in A.claim_errors(answers, cited).collect()] == [(2, "6ปี")]
+    keys = "answer_id long, doc_id string, page_number int, chunk_id string, source_url string"
+    chunks = spark.createDataFrame([(1, "d", 1, "c", "u"), (3, "d", 0, "c", "u")], keys)
+    cites = spark.createDataFrame([(1, "d", 1, "c", "u"), (2, "d", 1, "c", "u"), (3, "d", 0, "c", "u")], keys)
+    errors = A.citation_errors(spark.createDataFrame([(i,) for i in range(1, 5)], "answer_id long"), cites, chunks).collect()
+    assert {r.answer_id: r.error for r in errors} == {2: "not retrieved", 3: "page below one", 4: "no citations"}
+
+
+def test_follow_up_carries_what_was_said(spark):
+    said = [(1, 0, "user", "old"), *[(1, k, "assistant", "x" * 500) for k in range(1, 6)], (1, 6, "user", "ชื่อ สมชาย"), (1, 7, "user", "call 081-234-5678"), (2, 0, "user", "a"), (3, 0, "system", "s")]
+    asked = spark.createDataFrame([(1, " แล้วกี่ปี "), (2, "new"), (3, "แล้วไง"), (4, None)], "conv_id long, text string")
+    got = {r.conv_id: r.query for r in A.standalone(asked, spark.createDataFrame(said, "conv_id long, turn int, role string, text string")).collect()}
+    assert got == {1: A.FOLLOWS + " | ".join(["assistant: " + "x" * 400] * 4 + ["user: call [redacted-phone]"]) + A.NEW_QUESTION + "แล้วกี่ปี", 2: "new", 3: "แล้วไง", 4: ""}
+
+
+def test_staff_and_session_changes(spark):
+    accounts = spark.createDataFrame([("a", "Ann", "customer"), ("b", "Bob", "customer"), ("s", "Sue", "staff")], "owner_id string, username string, account_role string")
+    sessions = spark.createDataFrame([("s1", "a", "active", "t1"), ("s0", "b", "closed", "t0")], "session_id string, owner_id string, status string, last_active_at string")
+    assert {r.session_id: r.owner_id for r in V.with_sessions(accounts, sessions, F.lit("t2")).collect()} == {"s1": "a", "s0": "b", "s-b": "b"}
+    messages = spark.createDataFrame([("r1", "private", "{}"), ("r1:assistant", "private", None), ("r2", "private", "{}")], "request_id string, purpose string, metadata string")
+    turns = spark.createDataFrame([("r1", "product", ["c"])], "request_id string, purpose string, citations array<string>")
+    assert {r.request_id: (r.purpose, r.metadata) for r in V.annotated(messages, turns).collect()} == {"r1": ("product", '{"citations":["c"]}'), "r1:assistant": ("product", '{"citations":["c"]}'), "r2": ("private", "{}")}
+    profiles = spark.createDataFrame([("a", None), ("b", "old"), ("c", None)], "owner_id string, refresh_requested_at string")
+    assert {r.owner_id: r.refresh_requested_at for r in V.refresh_requested(profiles, profiles.where("owner_id <> 'c'"), F.lit("now")).collect()} == {"a": "now", "b": "old", "c": None}
+    held = sessions.withColumn("token_hash", F.sha2(F.lit("t"), 256))
+    requests = spark.createDataFrame([("s1", "t"), ("s1", "x"), ("s0", "t"), ("s1", None)], "session_id string, access_token string")
+    assert [tuple(r) for r in V.authorised(requests, held).collect()] == [("s1", "t")]
+    said = spark.createDataFrame([("s1", k, "user", t, p) for k, (t, p) in enumerate([("about plan A", "private"), ("phone 081", "product"), ("premium?", "product"), ("hello", "private")])], "session_id string, turn int, role string, text string, purpose string")
+    lead, text = F.contains("text", F.lit("phone")), F.col("text")
+    assert [r.text for r in V.product_history(said, sessions, lead, text, F.contains("text", F.lit("plan A"))).orderBy("turn").collect()] == ["about plan A", "premium?"]
+    assert V.closed_vocabulary(said.where("turn = 0").select("turn", "text"), ["Plan A", "Plan B"], ["premium"]).collect()[0].products == ["Plan A"]
+
+
+def test_upsert_takes_one_row_of_a_key(spark):
+    current = spark.createDataFrame([(1, "a", 1), (None, "n", 1)], "k int, v string, at int")
+    incoming = spark.createDataFrame([(1, "b", 2), (1, "c", 3), (None, "m", 2), (5, "e", 1)], "k int, v string, at int")
+    assert sorted((r.k or 0, r.v) for r in D.upsert(current, incoming, ["k"], [F.desc("at")]).collect()) == [(0, "m"), (1, "c"), (5, "e")]
+
+
+def test_masks_and_routes(spark):
+    row = spark.createDataFrame([("โทร ๐" + "๘๑๒๓๔๕๖๗๘ หรือ 0๘๑๒๓๔๕๖๗๘ รายได้ ๕๐๐๐๐ บาท", None)], "a string, b string").select(T.redacted(F.col("a")).alias("a"), T.route(F.col("b"), F.lit(False), F.lit(False), F.lit(False)).alias("b")).first()
+    assert "0๘" not in row.a and "[redacted-phone]" in row.a and "[redacted-income]" in row.a and row.b == "unsupported"
+
+
+def test_a_month_needs_exactly_one_rule(spark):
+    months = spark.sql("select 1 agent_id, date'2024-01-01' month_start union all select 1, date'2024-02-01'")
+    rules = spark.sql("select 'a' rule_id, date'2024-01-01' valid_from, date'2024-01-31' valid_to")
+    assert K.with_one_rule(months.where("month_start < date'2024-02-01'"), rules).first().rule_id == "a"
+    for some in (rules, rules.unionByName(spark.sql("select 'b', date'2024-01-01', cast(null as date)").toDF(*rules.columns))):
+        with pytest.raises(Exception, match="exactly one rule"):
+            K.with_one_rule(months, some).collect()
+
+
+def test_terms_are_counted_without_overlap(spark):
+    texts = [(1, "Aaaa b. é È e"), (2, None), (3, "xx")]
+    got = {r.chunk_id: (r.size, {h.term: h.f for h in r.hits}) for r in R.occurrences_of(spark.createDataFrame(texts, "chunk_id long, text string"), ["aa", "ab", "eee", "e"]).collect()}
+    assert got == {1: (9, {"aa": 2, "ab": 1, "eee": 1, "e": 3}), 2: (0, {}), 3: (2, {})}
+    assert R.occurrences_of(spark.createDataFrame(texts, "chunk_id long, text string"), []).count() == 3
