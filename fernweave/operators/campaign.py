@@ -125,16 +125,62 @@ def top_values(frame: DataFrame, columns: list[str], most: int = 10) -> DataFram
     return counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("field", "value", "records", "place")
 
 
+def _pairs(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """(field, value) of the numbers in some columns."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in columns]))
+    return frame.select(each.alias("p")).select("p.*").where("value is not null and not isnan(value)")
+
+
+def _range_of(value: Column) -> Column:
+    """The range of a number, by its sign and first three digits; larger numbers have no smaller range."""
+    size = F.abs(value)
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(size)) - 2)
+    near = F.signum(value) * F.least(F.floor(size / unit), F.lit(999)) * unit
+    return F.when(size < 1e-300, 0.0).when(size == float("inf"), value).otherwise(near)
+
+
+def exact_quantiles(pairs: DataFrame, quantiles: tuple[float, ...]) -> DataFrame:
+    """(field, q): interpolated quantiles of pairs (field, value) without nulls, in the order that they are asked for.
+
+    Values are counted by range first; only those in ranges that hold a rank asked for are put in order, so that no task
+    sees all values of a field.
+    """
+    ranged = pairs.withColumn("range", _range_of(F.col("value")))
+    counts = ranged.groupBy("field", "range").agg(F.count(F.lit(1)).alias("n"))  # some thousand ranges of a field
+    order = W.partitionBy("field").orderBy("range")
+    placed = counts.withColumns({"upto": F.sum("n").over(order), "whole": F.sum("n").over(W.partitionBy("field"))})
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(q).alias("q")) for k, q in enumerate(quantiles)])).alias("a")
+    place = (F.col("whole") - 1) * F.col("a.q")
+    wanted = placed.select("*", asked).withColumn("place", place).select("field", "range", "n", "upto", F.col("a.k").alias("k"), "place", F.explode(F.array(F.floor("place"), F.ceil("place"))).alias("rank"))
+    wanted = wanted.where("rank < upto and rank >= upto - n").distinct()
+    held = F.broadcast(wanted.select("field", "range", (F.col("upto") - F.col("n")).alias("before")).distinct())  # two of a quantile
+    values = ranged.join(held, ["field", "range"]).groupBy("field", "range", "before", "value").agg(F.count(F.lit(1)).alias("m"))
+    ends = values.withColumn("end", F.col("before") + F.sum("m").over(W.partitionBy("field", "range").orderBy("value")))
+    found = ends.join(F.broadcast(wanted.drop("n", "upto")), ["field", "range"]).where("rank < end and rank >= end - m")
+    each = found.groupBy("field", "k", "place").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    share = F.col("place") - F.floor("place")
+    value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") * (1 - share) + F.col("high") * share)
+    return each.groupBy("field").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", value.alias("v")))), lambda x: x["v"]).alias("q"))
+
+
 def numeric_profile(frame: DataFrame, columns: list[str], quantiles: tuple[float, ...] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """Extremes, mean, sample deviation, exact interpolated quantiles, zeros and negatives of each column."""
-    pairs = frame.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in columns])).alias("p")).select("p.*").where("value is not null and not isnan(value)")
+    pairs = _pairs(frame, columns)
     own = pairs.groupBy("field").agg(
         F.count("value").alias("non_null"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("deviation"),
-        F.percentile("value", F.array(*[F.lit(q) for q in quantiles])).alias("q"), F.count_if(F.col("value") == 0).alias("zeros"), F.count_if(F.col("value") < 0).alias("negatives"),
-    )
+        F.count_if(F.col("value") == 0).alias("zeros"), F.count_if(F.col("value") < 0).alias("negatives"),
+    ).join(exact_quantiles(pairs, quantiles), "field")
     return own.select("field", "non_null", "least", "most", "mean", "deviation", *[F.round(F.col("q")[i], 6).alias(f"q{round(q * 100):02d}") for i, q in enumerate(quantiles)], "zeros", "negatives")
 
 
+def financial_summary(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """Number, quartiles, extremes, zeros and negatives of each money column."""
+    pairs = _pairs(frame, columns)
+    own = pairs.groupBy("field").agg(F.count("value").alias("values"), F.min("value").alias("least"), F.max("value").alias("most"), F.count_if(F.col("value") == 0).alias("zeros"), F.count_if(F.col("value") < 0).alias("negatives"))
+    quartiles = [F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q1", "median", "q3"))]
+    return own.join(exact_quantiles(pairs, (0.25, 0.5, 0.75)), "field").select("field", "values", *quartiles, "least", "most", "zeros", "negatives")
+
+
 def text_profile(frame: DataFrame, columns: list[str]) -> DataFrame:
     """Empty and untrimmed values and lengths of each text column."""
     pairs = frame.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in columns])).alias("p")).select("p.*").where("value is not null")
@@ -183,3 +229,10 @@ def measures(frame: DataFrame, visible_labels: list[int] | None, by: list[str] |
     seen = label.isin(*visible_labels) if visible_labels else F.lit(True)
     grouped = frame.groupBy(*[F.col(c) for c in by or []])
     return grouped.agg(F.count_if(seen).alias("visible"), *acceptance_columns(label)[1:]).where("visible > 0")
+
+
+def visual(frame: DataFrame, by: list[str], slices: dict[str, list[str]] | None = None, order: list[Column] | None = None, label_col: str = "label") -> DataFrame:
+    """What a report shows by some columns under slicers on others: counts and rates, most accepted first or in the order given."""
+    for column, values in (slices or {}).items():
+        frame = frame.where(F.col(column).isin(*values))
+    return frame.groupBy(*by).agg(*acceptance_columns(F.col(label_col))).orderBy(*(order or [F.desc("accepted")]), *by)

@@ -40,14 +40,20 @@ def overlapping_rules(rules: DataFrame) -> DataFrame:
     return marked.where("earlier is not null and (earlier_to is null or earlier_to >= valid_from)").select("earlier", "rule_id")
 
 
-def rule_errors() -> Column:
-    """Names of the checks that a rule row breaks."""
+def rule_errors(operator: Column | None = None) -> Column:
+    """Names of the checks that a rule row breaks; operator: how it compares, which must be strictly."""
     checks = {"streak": F.col("required") < 1, "premium": F.col("premium_over") < 0, "policies": F.col("policies_over") < 0, "range": F.col("valid_to") < F.col("valid_from")}
+    if operator is not None:
+        checks["operator"] = ~operator.eqNullSafe(">")
     return F.filter(F.array(*[F.when(bad, name) for name, bad in checks.items()]), lambda x: x.isNotNull())
 
 
-def performance_errors() -> Column:
-    """Names of the checks that a performance row breaks; repeated months are told by a window."""
+def performance_errors(with_agent: bool = False) -> Column:
+    """Names of the checks that a performance row breaks; repeated months are told by a window.
+
+    with_agent: check source_kind too, and against the agent's columns, joined from the left, that there is one
+    (agent_name) and that the month is neither before joined_on's nor after inactive_on's.
+    """
     checks = {
         "first of month": F.col("month_start") != F.trunc("month_start", "MM"),
         "status": ~F.coalesce(F.col("status").isin("COMPLETE", "PENDING"), F.lit(False)),
@@ -55,6 +61,13 @@ def performance_errors() -> Column:
         "incomplete": (F.col("status") == "COMPLETE") & (F.col("premium").isNull() | F.col("policies").isNull()),
         "repeated month": F.count(F.lit(1)).over(W.partitionBy("agent_id", "month_start")) > 1,
     }
+    if with_agent:
+        checks |= {
+            "source": ~F.coalesce(F.col("source_kind").isin("synthetic", "external"), F.lit(False)),
+            "agent": F.col("agent_name").isNull(),
+            "before joining": F.col("month_start") < F.trunc("joined_on", "MM"),
+            "after leaving": F.col("month_start") > F.trunc("inactive_on", "MM"),
+        }
     return F.filter(F.array(*[F.when(bad, name) for name, bad in checks.items()]), lambda x: x.isNotNull())
 
 

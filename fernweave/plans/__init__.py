@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from fernweave.plans import campaign, dialogue, performance, records
+from fernweave.plans import campaign, corpus, dialogue, performance, records
 
-QUERIES = {**campaign.QUERIES, **performance.QUERIES, **records.QUERIES, **dialogue.QUERIES}
-ORACLE_SQL = {**campaign.ORACLE_SQL, **performance.ORACLE_SQL, **records.ORACLE_SQL, **dialogue.ORACLE_SQL}
+QUERIES = {**campaign.QUERIES, **performance.QUERIES, **records.QUERIES, **dialogue.QUERIES, **corpus.QUERIES}
+ORACLE_SQL = {**campaign.ORACLE_SQL, **performance.ORACLE_SQL, **records.ORACLE_SQL, **dialogue.ORACLE_SQL, **corpus.ORACLE_SQL}

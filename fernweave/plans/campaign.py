@@ -28,6 +28,7 @@ SHARES = ", ".join(f"CASE WHEN count(CASE WHEN label IN (1, 2) THEN 1 END) > 0 T
 FIELDS = ["label", "segment", "month_name", "income", "age", "net_flow"]
 DIMENSIONS = ["segment", "month_name", "priority"]
 NUMBERS = ["income", "age", "inflow"]
+MONEY = ["income", "inflow", "outflow", "net_flow"]
 
 
 def campaign(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,6 +73,9 @@ QUERIES = {
     "column_profile": lambda s, d: C.profile_columns(campaign(s, d), FIELDS),
     "top_values": lambda s, d: C.top_values(campaign(s, d), ["segment", "month_name"]),
     "numeric_profile": lambda s, d: C.numeric_profile(campaign(s, d), NUMBERS),
+    "financial_summary": lambda s, d: C.financial_summary(campaign(s, d), MONEY),
+    "visual_by_month": lambda s, d: C.visual(campaign(s, d), ["month_name"], {"segment": ["BUILDING", "MACHINERY"]}, [C.month_order(F.col("month_name"))]),
+    "visual_by_priority": lambda s, d: C.visual(campaign(s, d), ["priority"], {"month_name": list(C.MONTHS)}),
     "text_profile": lambda s, d: C.text_profile(read_table(s, d, "documents"), ["text", "source"]),
     "duplicate_texts": lambda s, d: C.duplicates(read_table(s, d, "documents"), ["text"]),
     "without_duplicates": lambda s, d: C.snapshot(campaign(s, d).dropDuplicates(["label", "segment", "month_name"])),
@@ -100,6 +104,9 @@ ORACLE_SQL = {name: f"WITH {BASE}{sql}" for name, sql in {
     "column_profile": " " + _each(FIELDS, "SELECT '{c}' AS field, count(*) AS records, count({c}) AS non_null, " + _MISSING + " AS nulls, CAST(" + _MISSING + " AS DOUBLE) / count(*) AS null_rate, count(DISTINCT {c}) AS distinct_values, CAST(count(DISTINCT {c}) AS DOUBLE) / count({c}) AS cardinality FROM campaign"),
     "top_values": f", v AS ({_each(['segment', 'month_name'], "SELECT '{c}' AS field, {c} AS value, count(*) AS records FROM campaign GROUP BY {c}")}) SELECT *, CAST(row_number() OVER (PARTITION BY field ORDER BY records DESC, value NULLS LAST) AS INTEGER) AS place FROM v QUALIFY place <= 10",
     "numeric_profile": " " + _each(NUMBERS, "SELECT '{c}' AS field, count({c}) AS non_null, CAST(min({c}) AS DOUBLE) AS least, CAST(max({c}) AS DOUBLE) AS most, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS deviation, " + ", ".join(f"round(quantile_cont(CAST({{c}} AS DOUBLE), {q}), 6) AS q{round(q * 100):02d}" for q in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) + ", count(CASE WHEN {c} = 0 THEN 1 END) AS zeros, count(CASE WHEN {c} < 0 THEN 1 END) AS negatives FROM campaign"),
+    "financial_summary": " " + _each(MONEY, "SELECT '{c}' AS field, count({c}) AS values, " + ", ".join(f"round(quantile_cont(CAST({{c}} AS DOUBLE), {q}), 6) AS {n}" for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))) + ", CAST(min({c}) AS DOUBLE) AS least, CAST(max({c}) AS DOUBLE) AS most, count(CASE WHEN {c} = 0 THEN 1 END) AS zeros, count(CASE WHEN {c} < 0 THEN 1 END) AS negatives FROM campaign"),
+    "visual_by_month": f" SELECT month_name, {RATE} FROM campaign WHERE segment IN ('BUILDING', 'MACHINERY') GROUP BY 1",
+    "visual_by_priority": f" SELECT priority, {RATE} FROM campaign WHERE month_name IN ('Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec') GROUP BY 1",
     "text_profile": " " + _each(["text", "source"], "SELECT '{c}' AS field, count(CASE WHEN trim({c}) = '' THEN 1 END) AS empty, count(CASE WHEN trim({c}) <> {c} THEN 1 END) AS untrimmed, CAST(min(length({c})) AS BIGINT) AS shortest, CAST(max(length({c})) AS BIGINT) AS longest, round(avg(length({c})), 6) AS mean_length FROM documents WHERE {c} IS NOT NULL"),
     "duplicate_texts": ", g AS (SELECT text, count(*) AS n FROM documents GROUP BY 1) SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS excess, CAST(coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS BIGINT) AS in_groups FROM g",
     "without_duplicates": f", u AS (SELECT DISTINCT label, segment, month_name FROM campaign) SELECT {RATE}, {PRODUCTS}, {SHARES} FROM u",

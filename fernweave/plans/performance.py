@@ -62,6 +62,7 @@ QUERIES = {
     "kpi_report": lambda s, d: K.kpi_report(agents(s, d), evaluated(s, d).select("agent_id", "month_start", "premium", "policies", "result", "pass_streak", "fail_streak"), _events(s, d)),
     "kpi_overlapping_rules": lambda s, d: K.overlapping_rules(rules(s).unionByName(s.sql("SELECT 'r3' rule_id, date'1999-01-01' valid_from, cast(null as date) valid_to, 1L premium_over, 1L policies_over, 1L required"))),
     "kpi_performance_errors": lambda s, d: performance(s, d).withColumn("premium", F.when(F.col("policies") % 5 == 0, -F.col("premium")).otherwise(F.col("premium"))).withColumn("errors", K.performance_errors()).select(F.explode("errors").alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("records")),
+    "kpi_agent_errors": lambda s, d: performance(s, d).withColumn("source_kind", F.when(F.col("policies") % 7 == 0, "guess").otherwise("external")).join(agents(s, d), "agent_id", "left").withColumn("errors", K.performance_errors(with_agent=True)).select(F.explode("errors").alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("records")),
 }
 ORACLE_SQL = {
     "kpi_monthly": CHAIN + "SELECT agent_id, month_start, rule_id, premium, policies, result, pass_streak, fail_streak FROM streaks",
@@ -69,4 +70,5 @@ ORACLE_SQL = {
     "kpi_report": CHAIN + "SELECT s.agent_id, agent_name, s.month_start, s.premium / 100.0 AS premium, policies, result, pass_streak, fail_streak, e.to_type FROM streaks s LEFT JOIN events e ON s.agent_id = e.agent_id AND s.month_start = e.effective_from",
     "kpi_overlapping_rules": f"WITH rules(rule_id, valid_from, valid_to, a, b, c) AS (VALUES {_VALUES}, ('r3', DATE '1999-01-01', NULL, 1, 1, 1)), m AS (SELECT rule_id, valid_from, lag(rule_id) OVER o AS earlier, lag(valid_to) OVER o AS earlier_to FROM rules WINDOW o AS (ORDER BY valid_from, rule_id)) SELECT earlier, rule_id FROM m WHERE earlier IS NOT NULL AND (earlier_to IS NULL OR earlier_to >= valid_from)",
     "kpi_performance_errors": "WITH p AS (SELECT l_suppkey, date_trunc('month', l_shipdate) AS m, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT 'negative' AS error, count(*) AS records FROM p WHERE n % 5 = 0",
+    "kpi_agent_errors": CHAIN + "SELECT error, count(*) AS records FROM (SELECT unnest([CASE WHEN policies % 7 = 0 THEN 'source' END, CASE WHEN month_start < date_trunc('month', joined_on) THEN 'before joining' END, CASE WHEN month_start > date_trunc('month', inactive_on) THEN 'after leaving' END]) AS error FROM perf JOIN agents USING (agent_id)) WHERE error IS NOT NULL GROUP BY 1",
 }

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,10 +26,28 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path).dropna("all")
 
 
-def verified_pages(documents: DataFrame) -> DataFrame:
-    """(doc_id, page_number, text, fault) of documents with an array of pages; fault is null where a page can be used."""
-    pages = documents.select("doc_id", F.explode("pages").alias("p")).select("doc_id", "p.*")
-    fault = F.when(~F.coalesce("verified", F.lit(False)), "unverified").when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty").when(F.col("text").rlike("[\\uE000-\\uF8FF]"), "private use").when(F.sha2("text", 256) != F.col("sha256"), "hash")
+def typed(frame: DataFrame, schema: str) -> DataFrame:
+    """Columns of text as the types of a schema; empty texts and those that are no such value are null."""
+    fields = StructType.fromDDL(schema)
+    return frame.select(*[F.nullif(F.col(f.name), F.lit("")).try_cast(f.dataType).alias(f.name) for f in fields])
+
+
+def verified_pages(documents: DataFrame, expected: DataFrame | None = None, revision: str | None = None) -> DataFrame:
+    """(doc_id, page_number, text, fault) of documents with an array of pages; fault is null where a page can be used.
+
+    documents: (doc_id, pages) and, where they are to be checked, source_hash and mapping_revision; expected: (doc_id,
+    sha256) of the source files, each once; revision: the only one that is taken. Texts have plain spaces and none
+    around them. A document without pages has one row without a page number.
+    """
+    told = F.lit(None).cast("string")
+    if revision is not None:
+        told = F.when(~F.col("mapping_revision").eqNullSafe(revision), "revision").otherwise(told)
+    if expected is not None:
+        documents = documents.join(expected.select("doc_id", F.col("sha256").alias("expected_")), "doc_id", "left")
+        told = F.when(~F.coalesce(F.col("source_hash") == F.col("expected_"), F.lit(False)), "provenance").otherwise(told)
+    pages = documents.select("doc_id", told.alias("told_"), F.explode_outer("pages").alias("p")).select("doc_id", "told_", "p.*", F.col("p").isNull().alias("none_"))
+    pages = pages.withColumn("text", F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "\u00a0", " "), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+    fault = F.when(F.col("told_").isNotNull(), F.col("told_")).when(F.col("none_"), "no pages").when(~F.coalesce("verified", F.lit(False)), "unverified").when(F.col("text") == "", "empty").when(F.col("text").rlike("[\\uE000-\\uF8FF]"), "private use").when(~F.sha2("text", 256).eqNullSafe(F.col("sha256")), "hash")
     return pages.select("doc_id", "page_number", "text", fault.alias("fault"))
 
 
@@ -43,8 +62,31 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> Data
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
+def _finite(value: Column, kind: DataType) -> Column:
+    """A value with NaN and infinite numbers, at any depth, as null."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _finite(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: _finite(x, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[_finite(value[f.name], f.dataType).alias(f.name) for f in kind]))
+    return value
+
+
 def write_json(frame: DataFrame, path: str) -> None:
     """JSON lines; NaN and infinite numbers are written as null."""
-    numbers = [f.name for f in frame.schema if f.dataType.typeName() in ("double", "float")]
-    clean = {c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c)) for c in numbers}
+    clean = {f.name: _finite(F.col(f"`{f.name}`"), f.dataType) for f in frame.schema}
     frame.withColumns(clean).write.option("ignoreNullFields", False).json(path)
+
+
+def traces(turns: DataFrame, keep: tuple[str, ...] = ("candidate_count", "grounded_count", "duration_ms", "requests")) -> DataFrame:
+    """(trace_id, owner_ref, session_ref, status, and what of ``keep`` there is): turns without anything they say.
+
+    turns: (trace_id, owner_id, session_id, status, ...). Owners and sessions are told by a hash, and a status beside
+    complete and cancelled is error.
+    """
+    refs = [F.substring(F.sha2(F.col(f"{c}_id").cast("string"), 256), 1, 16).alias(f"{c}_ref") for c in ("owner", "session")]
+    status = F.when(F.col("status").isin("complete", "cancelled"), F.col("status")).otherwise("error").alias("status")
+    return turns.select("trace_id", *refs, status, *[c for c in keep if c in turns.columns])
