@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm import html_text, jaccard_join, max_score, mixing, packing, secret_scan, token_output, toxicity, vantage_points, warc
+from fernweave.llm import html_text, jaccard_join, max_score, mixing, packing, secret_scan, token_output, toxicity, vantage_points, vector_codes, warc
 from fernweave.llm._common import ship, small_batches, table
 
 
@@ -77,7 +77,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_token_matrices, op4_warc, op5_jaccard_join, op6_vantage_points, op7_html_text, op8_toxicity, op9_max_score, op10_mixing)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    small_batches(spark, 2000)
+    return vector_codes.product_codes(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_token_matrices, op4_warc, op5_jaccard_join, op6_vantage_points, op7_html_text, op8_toxicity, op9_max_score, op10_mixing, op12_vector_codes)}
 
 OP10_SQL = r"""
 WITH RECURSIVE sized AS (
@@ -126,4 +132,43 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_max_score": OP9_SQL, "op10_mixing": OP10_SQL}
+#: Long form: one row for each vector, part and place; a round is two statements more, so the text is made by a rule.
+_OP12_NEAREST = """
+nearest{i} AS MATERIALIZED (
+  SELECT id, part, arg_min(entry, struct_pack(d := distance, e := entry)) AS entry, min(distance) AS distance
+  FROM (SELECT v.id, v.part, b.entry, CAST(sum((v.x - b.x) * (v.x - b.x)) AS BIGINT) AS distance
+        FROM cells v JOIN book{i} b ON v.part = b.part AND v.place = b.place GROUP BY v.id, v.part, b.entry)
+  GROUP BY id, part),
+"""
+_OP12_MOVED = """
+book{j} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.place, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, b.x) AS x
+  FROM book{i} b LEFT JOIN (
+    SELECT v.part, a.entry, v.place, CAST(sum(v.x) AS BIGINT) AS s, count(*) AS n
+    FROM cells v JOIN nearest{i} a ON v.id = a.id AND v.part = a.part GROUP BY v.part, a.entry, v.place) m
+  ON b.part = m.part AND b.entry = m.entry AND b.place = m.place),
+"""
+OP12_SQL = (
+    """
+WITH whole AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cells AS MATERIALIZED (
+  SELECT id, (pos - 1) // (size // 8) AS part, (pos - 1) % (size // 8) AS place, x
+  FROM (SELECT id, len(v) AS size, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS pos FROM whole)),
+book0 AS MATERIALIZED (SELECT part, id - 1 AS entry, place, x FROM cells WHERE id <= 16),
+"""
+    + "".join(_OP12_NEAREST.format(i=i) + _OP12_MOVED.format(i=i, j=i + 1) for i in range(6))
+    + _OP12_NEAREST.format(i=6)
+    + """
+coded AS (
+  SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(distance) AS BIGINT) AS error FROM nearest6 GROUP BY id)
+SELECT w.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY w.label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, place)) FROM book6) AS codebooks_sha256
+FROM whole w JOIN coded c ON w.id = c.id
+"""
+)
+
+ORACLE_SQL: dict[str, str] = {"op9_max_score": OP9_SQL, "op10_mixing": OP10_SQL, "op12_vector_codes": OP12_SQL}
