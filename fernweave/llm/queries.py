@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm import html_text, jaccard_join, max_score, mixing, packing, secret_scan, token_output, toxicity, vantage_points, vector_codes, warc
+from fernweave.llm import collocations, html_text, jaccard_join, max_score, mixing, packing, secret_scan, token_output, toxicity, vantage_points, vector_codes, warc
 from fernweave.llm._common import ship, small_batches, table
 
 
@@ -77,13 +77,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    small_batches(spark, 1000)
+    return collocations.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, inside=50, top=2000)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     small_batches(spark, 2000)
     return vector_codes.product_codes(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_token_matrices, op4_warc, op5_jaccard_join, op6_vantage_points, op7_html_text, op8_toxicity, op9_max_score, op10_mixing, op12_vector_codes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_token_matrices, op4_warc, op5_jaccard_join, op6_vantage_points, op7_html_text, op8_toxicity, op9_max_score, op10_mixing, op11_collocations, op12_vector_codes)}
 
 OP10_SQL = r"""
 WITH RECURSIVE sized AS (
@@ -132,6 +138,37 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 10
 """
 
+OP11_SQL = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents),
+worded AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM texts)),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang),
+f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS n
+  FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+        FROM worded, (SELECT unnest([1, 2, 3]) AS k))
+  GROUP BY lang, k, phrase),
+candidates AS MATERIALIZED (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
+cuts AS (
+  SELECT lang, k, phrase, a, c, array_to_string(w[1:c], ' ') AS before, array_to_string(w[c + 1:k], ' ') AS behind
+  FROM candidates, (SELECT unnest([1, 2]) AS c) WHERE c < k),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.c, l.n AS l, r.n AS r,
+         CAST((CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(l.n AS HUGEINT) * r.n) AS BIGINT) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.before JOIN f r ON r.lang = c.lang AND r.phrase = c.behind),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inner_parts AS (
+  SELECT lang, part, max(a) AS longer
+  FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS part FROM candidates WHERE k = 3) GROUP BY lang, part),
+kept AS (
+  SELECT s.* FROM lowest s LEFT JOIN inner_parts i ON i.lang = s.lang AND i.part = s.phrase
+  WHERE i.longer IS NULL OR 100 * i.longer < 50 * s.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
 #: Long form: one row for each vector, part and place; a round is two statements more, so the text is made by a rule.
 _OP12_NEAREST = """
 nearest{i} AS MATERIALIZED (
@@ -171,4 +208,4 @@ FROM whole w JOIN coded c ON w.id = c.id
 """
 )
 
-ORACLE_SQL: dict[str, str] = {"op9_max_score": OP9_SQL, "op10_mixing": OP10_SQL, "op12_vector_codes": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_max_score": OP9_SQL, "op10_mixing": OP10_SQL, "op11_collocations": OP11_SQL, "op12_vector_codes": OP12_SQL}
