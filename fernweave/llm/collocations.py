@@ -495,7 +495,7 @@ def _named(phrases: DataFrame, words: DataFrame, longest: int) -> DataFrame:
         there, short = out.where(F.col(key) != 0), out.where(F.col(key) == 0)
         found = join_unique(there, own.select(F.col("id").alias(key), F.col("lang").alias("own_lang"), "word"), key)
         phrase = F.col("word") if j == 0 else F.concat("phrase", F.lit(" "), "word")
-        out = found.withColumns({"phrase": phrase, "lang": F.col("own_lang")}).drop("word", "own_lang").unionByName(short)
+        out = materialise(found.withColumns({"phrase": phrase, "lang": F.col("own_lang")}).drop("word", "own_lang").unionByName(short), f"collocation-texts-{j}")
     return out
 
 
@@ -510,6 +510,11 @@ def _best_of_each(phrases: DataFrame, top: int) -> DataFrame:
     return phrases.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
 
 
+def _hand_back() -> None:
+    """Free what the driver no longer uses, as ``lean`` does at the end of its work."""
+    list(lean(iter)(iter(())))
+
+
 def _slices(spark: SparkSession, keys: DataFrame, longest: int, most_keys: int) -> Iterator[Broadcast]:
     """Broadcast slices of the keys by hash, of about ``most_keys`` each."""
     names = [f"w{j + 1}" for j in range(longest)]
@@ -518,6 +523,7 @@ def _slices(spark: SparkSession, keys: DataFrame, longest: int, most_keys: int)
         rows = (keys.where(F.pmod(F.xxhash64(*names), F.lit(count)) == k) if count > 1 else keys).toArrow()
         columns = [rows.column(j).to_numpy().view(np.uint64) for j in range(longest)]
         del rows
+        _hand_back()
         yield spark.sparkContext.broadcast(Slice(columns))
 
 
@@ -536,9 +542,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = words.where(F.col("n") >= least)
     every, known = words.agg(F.sum("n"), F.count_if(F.col("n") >= least)).first()
-    usable = word_bits(frequent, _log(16 * known, most_bits))
-    full = full_buckets(texts, seed, spark.sparkContext.broadcast(usable), longest, min(least, 255), _log((every or 0) // 2, most_bits))
-    filters = spark.sparkContext.broadcast((usable, full))
+    usable = spark.sparkContext.broadcast(word_bits(frequent, _log(16 * known, most_bits)))
+    full = full_buckets(texts, seed, usable, longest, min(least, 255), _log((every or 0) // 2, most_bits))
+    filters = spark.sparkContext.broadcast((usable.value, full))
+    usable.destroy()
     names = [f"w{j + 1}" for j in range(longest)]
     none = F.lit(0).cast("long")
     phrases = materialise(candidates(texts, seed, filters, longest), "collocation-candidates")
@@ -547,11 +554,13 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     for k, slice_ in enumerate(_slices(spark, keys, longest, most_keys)):
         counts = spark.sparkContext.broadcast(count_by_slot(texts, seed, filters, slice_, longest))
         counted = materialise(_with_counts(counted, slice_, counts, longest), f"collocation-counts-{k}")
-        slice_.unpersist()
-        counts.unpersist()
+        slice_.destroy()
+        counts.destroy()
+        _hand_back()
+    filters.destroy()
     scored = _scored(counted, longest, least)
     kept = materialise(_without_inner(materialise(scored, "collocation-scores"), longest, inside), "collocation-phrases")
-    best = _best_of_each(materialise(_named(kept, frequent, longest), "collocation-texts"), top)
+    best = _best_of_each(_named(kept, frequent, longest), top)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
