@@ -40,7 +40,7 @@ BLOCK = 1 << 12
 #: Partial sums that meet in one step of the tree.
 FAN = 64
 #: Words, phrases or slots that a task holds before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 18
 
 
 @lru_cache(maxsize=4)
@@ -163,7 +163,7 @@ def count_words(texts: DataFrame, seed: int) -> DataFrame:
                 else:
                     totals[i] = n
                     names[i] = words.langs[words.text[at]], words.word(at)
-            if len(totals) > HELD // 4:
+            if len(totals) > HELD // 2:
                 yield flush()
         yield flush()
 
