@@ -36,7 +36,7 @@ _U = np.uint64
 #: Bytes that end a piece, and that end a word within one.
 BREAKS, GAPS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 #: Buckets or slots of one row on its way from tasks to sums.
-BLOCK = 1 << 12
+BLOCK = 1 << 16
 #: Partial sums that meet in one step of the tree.
 FAN = 64
 #: Words, phrases or slots that a task holds before it hands them on.
@@ -209,7 +209,7 @@ def _block_rows(kind: int, at: np.ndarray, times: np.ndarray) -> Iterator[tuple[
 _BLOCKS = "kind int, block long, places binary, counts binary"
 
 
-def _block_batches(rows: Iterator[tuple[int, int, bytes, bytes]], rows_each: int = 512) -> Iterator[pa.RecordBatch]:
+def _block_batches(rows: Iterator[tuple[int, int, bytes, bytes]], rows_each: int = 64) -> Iterator[pa.RecordBatch]:
     held: list[tuple[int, int, bytes, bytes]] = []
     for row in rows:
         held.append(row)
@@ -236,7 +236,7 @@ def _tree_sum(rows: DataFrame, kind: str, most: int | None) -> DataFrame:
             for k, block, places, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 total = held.setdefault((k, block), np.zeros(BLOCK, np.int64 if most is None else np.uint8))
                 at = np.frombuffer(places, "<u2")
-                more = total[at] + np.frombuffer(counts, kind)  # places are distinct in a row
+                more = total[at].astype(np.int64) + np.frombuffer(counts, kind)  # places are distinct in a row
                 total[at] = more if most is None else np.minimum(more, most)
         sums = ((k, block, np.flatnonzero(total), total) for (k, block), total in sorted(held.items()))
         yield from _block_batches(row for k, block, at, total in sums for row in _block_rows(k, at + block * BLOCK, total[at]))
