@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernweave.llm import collocations, html_text, jaccard_join, max_score, mixing, packing, secret_scan, token_output, toxicity, vantage_points, vector_codes, warc
+from fernweave.llm import collocations, context_mixing, html_text, jaccard_join, max_score, mixing, packing, secret_scan, token_output, toxicity, vantage_points, vector_codes, warc
 from fernweave.llm._common import ship, small_batches, table
 
 
@@ -89,7 +89,13 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.product_codes(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_token_matrices, op4_warc, op5_jaccard_join, op6_vantage_points, op7_html_text, op8_toxicity, op9_max_score, op10_mixing, op11_collocations, op12_vector_codes)}
+def op13_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    small_batches(spark, 1000)
+    return context_mixing.score_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_token_matrices, op4_warc, op5_jaccard_join, op6_vantage_points, op7_html_text, op8_toxicity, op9_max_score, op10_mixing, op11_collocations, op12_vector_codes, op13_context_mixing)}
 
 OP10_SQL = r"""
 WITH RECURSIVE sized AS (
