@@ -229,7 +229,8 @@ class Units:
 class Decisions:
     """The bits of some units, each with its place in the code and the counter of each context."""
 
-    def __init__(self, value: np.ndarray, length: np.ndarray, kind: np.ndarray, contexts: list[np.ndarray], log: int):
+    def __init__(self, value: np.ndarray, length: np.ndarray, kind: np.ndarray, contexts: list[np.ndarray | None], log: int):
+        """A counter for each context; None is the place in the code alone."""
         lines = (length + 3) // 4
         unit = np.repeat(np.arange(len(value)), lines)
         group = np.arange(len(unit)) - (np.cumsum(lines) - lines).take(unit)
@@ -247,7 +248,7 @@ class Decisions:
         self.gate = np.where(kinds == 1, 5, np.minimum(group, 4)).take(line)
         down = _V(32 - (log - 4))
         self.slots = []
-        for context in [None, *contexts]:
+        for context in contexts:
             base = prefix
             if context is not None:
                 own = context.take(unit)
@@ -260,10 +261,11 @@ class Decisions:
         self.count = np.add.reduceat(bits, np.cumsum(lines) - lines) if len(unit) else np.zeros(0, np.int64)  # bits of each unit
 
 
-def decisions(units: Units, log: int) -> Iterator[tuple[np.ndarray, Decisions]]:
+def decisions(units: Units, log: int, alone: bool = True) -> Iterator[tuple[np.ndarray, Decisions]]:
     """Bits of about UNITS units at a time, and the part of each bit.
 
-    Parts stay whole or are cut at UNITS units of their own, so a text is always written in the same pieces.
+    alone: with the counter of the place in the code alone before those of the contexts. Parts stay whole or are cut at UNITS
+    units of their own, so a text is always written in the same pieces.
     """
     edges = np.flatnonzero(np.concatenate([[True], units.part[1:] != units.part[:-1]])).tolist() + [len(units)]
     cuts, start = [], 0
@@ -276,7 +278,7 @@ def decisions(units: Units, log: int) -> Iterator[tuple[np.ndarray, Decisions]]:
             start += UNITS
     for a, b in [*cuts, (start, len(units))]:
         s = slice(a, b)
-        d = Decisions(units.value[s], units.length[s], units.kind[s], [c[s] for c in units.contexts], log)
+        d = Decisions(units.value[s], units.length[s], units.kind[s], [*([None] if alone else []), *(c[s] for c in units.contexts)], log)
         yield np.repeat(units.part[s], d.count), d
 
 
@@ -363,31 +365,35 @@ def score_bits(model: Model, d: Decisions, owner: np.ndarray) -> np.ndarray:
 
 
 def _lockstep(inputs: list[np.ndarray], bit: np.ndarray, first: np.ndarray, size: np.ndarray, out: np.ndarray) -> None:
-    """Mixed logits of runs, the longest first, each with multipliers that follow its errors."""
-    steps = int(size[0])
+    """Mixed logits of runs, the longest first, each with multipliers that follow its errors.
+
+    Inputs and sums are held with the other sign, so that a step needs no negation.
+    """
+    steps, rate, one = int(size[0]), np.float32(OWN_RATE), np.float32(1)
     lanes = np.searchsorted(-size, -np.arange(steps), side="left").tolist()  # runs that are longer than t come first
     place = np.minimum(first[None] + np.arange(steps)[:, None], len(bit) - 1)
     x = np.empty((steps, len(inputs), len(first)), np.float32)
     for k, column in enumerate(inputs):
-        x[:, k] = column.take(place)
-    want = bit.take(place).astype(np.float32)
+        np.negative(column.take(place), out=x[:, k])
+    want = bit.take(place) * rate
     mixed = np.zeros(place.shape, np.float32)
     own = np.ones((len(inputs), len(first)), np.float32)
-    high, low, rate, one = np.float32(MOST), np.float32(-MOST), np.float32(OWN_RATE), np.float32(1)
-    for t, n in enumerate(lanes):
-        row, mine, dot = x[t, :, :n], own[:, :n], mixed[t, :n]
-        np.add.reduce(row * mine, axis=0, out=dot)
-        np.minimum(dot, high, out=dot)
-        np.maximum(dot, low, out=dot)
-        error = np.exp(-dot)
-        error += one
-        np.reciprocal(error, out=error)
-        np.subtract(want[t, :n], error, out=error)
-        error *= rate
-        row *= error
-        mine += row
-    used = np.arange(steps)[:, None] < size[None]
-    out[place[used]] = mixed[used]
+    with np.errstate(over="ignore"):  # beyond 88 the exponential is infinite and the prediction 0
+        for t, n in enumerate(lanes):
+            row, mine, dot = x[t, :, :n], own[:, :n], mixed[t, :n]
+            np.add.reduce(row * mine, axis=0, out=dot)
+            error = np.exp(dot)
+            error += one
+            np.divide(rate, error, out=error)
+            np.subtract(want[t, :n], error, out=error)
+            row *= error
+            mine -= row
+    np.negative(mixed, out=mixed)
+    np.clip(mixed, -MOST, MOST, out=mixed)
+    full = int(np.searchsorted(-size, -steps, side="right"))
+    out[place[:, :full]] = mixed[:, :full]
+    used = np.arange(steps)[:, None] < size[None, full:]
+    out[place[:, full:][used]] = mixed[:, full:][used]
 
 
 def learn(mixer: Mixer, model: Model, d: Decisions, owner: np.ndarray, spent: np.ndarray, visits: np.ndarray, seen: np.ndarray) -> None:
@@ -484,9 +490,9 @@ def count_bits(texts: DataFrame, lexicon: Broadcast, log: int) -> list[np.ndarra
         for batch in batches:
             for tokens, _ in _tokens(_texts(batch, 0)):
                 units = Units(tokens, own.symbols_of(tokens.ids), own)
-                for _, d in decisions(units, log):
+                for _, d in decisions(units, log, alone=False):
                     for k in range(INPUTS - 1):
-                        np.add.at(total, ((k << (log + 1)) + 2 * d.slots[k + 1]) + d.bit, np.uint32(1))
+                        np.add.at(total, ((k << (log + 1)) + 2 * d.slots[k]) + d.bit, np.uint32(1))
                     size += len(d.bit)
                 if size > 1 << 31:  # before a counter could pass 32 bits
                     yield from _counter_rows(total)
@@ -546,7 +552,7 @@ def first_table(lexicon: Lexicon, log: int) -> np.ndarray:
     """States of bits by their place in the codes alone, from the counts of words and bytes."""
     counts = np.zeros(2 << log, np.int64)
     for kind, values, lengths, n in ((0, lexicon.values, lexicon.lengths, lexicon.weights), (1, lexicon.letter_values, lexicon.letter_lengths, lexicon.letters)):
-        d = Decisions(values, lengths, np.full(len(values), kind, np.uint8), [], log)
+        d = Decisions(values, lengths, np.full(len(values), kind, np.uint8), [None], log)
         np.add.at(counts, 2 * d.slots[0] + d.bit, np.repeat(n, d.count))
     return states(counts[::2], counts[1::2])
 
@@ -604,7 +610,7 @@ def fit_model(docs: DataFrame, id_col: str, text_col: str, most_words: int, most
     return model, counts
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, most_words: int = 1 << 18, most_slots: int = 22) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, most_words: int = 1 << 19, most_slots: int = 22) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each row.
 
     score: the model's log10 probability of the text; bits_per_byte: its bits over the bytes of the words and one for each

@@ -94,10 +94,11 @@ def test_lockstep_equals_a_loop_over_bits():
                 if owner[i] != before or left == 0:
                     own, left, before = [1.0] * cm.INPUTS, cm.STEPS, owner[i]
                 x = [float(logits[k][i] * weights[cells[k][i]]) for k in range(cm.INPUTS)]
-                dot = min(cm.MOST, max(-cm.MOST, sum(a * b for a, b in zip(x, own, strict=True))))
+                dot = sum(a * b for a, b in zip(x, own, strict=True))
                 error = float(d.bit[i]) - 1 / (1 + math.exp(-dot))
                 own = [w + cm.OWN_RATE * error * a for w, a in zip(own, x, strict=True)]
                 left -= 1
+                dot = min(cm.MOST, max(-cm.MOST, dot))
                 cell = int((dot + cm.MOST) * (cm.FINE - 1) / (2 * cm.MOST))
                 near = [costs[int(d.gate[i]) * 2 * cm.FINE + int(d.bit[i]) * cm.FINE + min(cm.FINE - 1, max(0, cell + e))] for e in (-1, 0, 1)]
                 assert min(near) - 1e-6 <= got[i] <= max(near) + 1e-6
