@@ -31,12 +31,18 @@ def shown(text: Column, names: dict[str, str]) -> Column:
     return text
 
 
-def chosen(text: Column, candidates: Column) -> Column:
-    """The candidate that a text chooses by its number from 1 or by an ordinal; null if it chooses none that there is."""
+def choice(text: Column) -> Column:
+    """The number from 1 that a whole text chooses by, as a figure or an ordinal; null for other texts."""
     said = F.regexp_replace(F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")), r"(?U)\s+", " ")
     number = F.regexp_extract(said, rf"(?U)^{CHOOSE}\s*(\d+)$", 1).try_cast("int")
     for word, place in ORDINALS.items():
         number = F.when(said == word, place).otherwise(number)
+    return number
+
+
+def chosen(text: Column, candidates: Column) -> Column:
+    """The candidate that a text chooses by its number from 1 or by an ordinal; null if it chooses none that there is."""
+    number = choice(text)
     return F.when(number.between(1, F.size(candidates)), F.get(candidates, number - 1))
 
 

@@ -18,7 +18,7 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 
 
 def file_stream(spark: SparkSession, path: str, schema: str | None = None, files_each: int | None = None) -> DataFrame:
-    """A stream of the Parquet files below a path, or of the one file that it names; files_each: files of a batch."""
+    """A stream of the Parquet files below a folder, or of those that a pattern names; files_each: files of a batch."""
     shape = spark.read.parquet(path).schema if schema is None else schema
     reader = spark.readStream.schema(shape)
     return (reader.option("maxFilesPerTrigger", files_each) if files_each else reader).parquet(path)
