@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fernweave.functions import text as T
 from fernweave.operators import answers as A
+from fernweave.operators import claims as C
 from fernweave.operators import conversations as V
 from fernweave.operators import leads as L
 from fernweave.sources.readers import read_table
@@ -63,6 +64,20 @@ def answered(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return said, lines.select(F.col("l_orderkey").alias("answer_id"), F.col("last").cast("string").alias("chunk_id"), F.concat(F.lit("ระยะเวลาชำระเบี้ย "), F.col("n") * 10, F.lit(" ปี")).alias("text"))
 
 
+def faulty(s: SparkSession, d: str) -> DataFrame:
+    """Answers of eight kinds about an order's quantity, whose evidence differs by 0, 1 or 2, and what is wrong with them."""
+    own = read_table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("answer_id")).agg(F.sum("l_quantity").cast("long").alias("q"), F.count(F.lit(1)).alias("n"))
+    q, n, p, gap = F.col("q"), F.col("n"), F.col("answer_id") % 3, " " * 40
+    kind = (F.col("answer_id") * 5 % 8).cast("int")
+    said = F.array(F.concat(F.lit("ชำระเบี้ย "), q, F.lit(" ปี")), F.concat(F.lit("รับอายุ "), n, F.lit(" - "), q + 50, F.lit(" ปี")), F.concat(F.lit("เบี้ย 1,"), F.lpad(q.cast("string"), 3, "0"), F.lit(" บาท")), F.concat(F.lit("คุ้มครอง "), q, F.lit(" ปี")), F.concat(F.lit("ชำระ "), q, F.lit(" ปี")), F.concat(F.lit("คุ้มครองโรค"), p), F.lit("hello"), F.concat(F.lit("ชำระ "), q, F.lit(" ปี")))
+    told = F.array(F.concat(F.lit("ระยะเวลาชำระเบี้ย "), q + p, F.lit(" ปี")), F.concat(F.lit("อายุรับ "), n, F.lit(" – "), q + 50 + p, F.lit(" ปี")), F.concat(F.lit("ตาราง premium แผน "), q + 1000 + p), F.concat(F.lit(f"ตาราง คุ้มครอง{gap}ระยะ "), q + p, F.lit(" ปี")), F.concat(F.lit(f"เบี้ย{gap}คุ้มครอง "), q, F.lit(" ปี")), F.lit("ไม่คุ้มครองโรค1"), F.lit("ชำระ"), F.concat(F.lit("ชำระ "), q, F.lit(" ปี")))
+    own = own.withColumns({"text": F.get(said, kind), "told": F.get(told, kind), "kind": kind})
+    place = [F.lit("d").alias("doc_id"), F.when((F.col("kind") == 0) & (p == 2), 0).otherwise(1).alias("page_number"), F.col("answer_id").cast("string").alias("chunk_id"), F.lit("u").alias("source_url")]
+    chunks = own.select("answer_id", *place, F.col("told").alias("text"))
+    missed = F.when((F.col("kind") == 3) & (p == 2), "other").otherwise("u")
+    return C.answer_faults(own.select("answer_id", "text"), own.where("kind <> 7").select("answer_id", *place[:3], missed.alias("source_url")), chunks)
+
+
 def follow_ups(s: SparkSession, d: str) -> DataFrame:
     own = read_table(s, d, "conversations")
     asked = own.select("conv_id").distinct().withColumn("text", F.when(F.col("conv_id") % 2 == 0, " What about it? ").otherwise("A new question"))
@@ -85,7 +100,8 @@ QUERIES = {
     "candidate_assessment": lambda s, d: A.assessed(*questions(s, d)),
     "lexical_assessment": lambda s, d: A.assessed_lexically(*questions(s, d)),
     "fallback_messages": lambda s, d: A.fallback_messages(A.assessed(*questions(s, d)), questions(s, d)[1]),
-    "claim_errors": lambda s, d: A.claim_errors(*answered(s, d)),
+    "claim_errors": lambda s, d: C.claim_errors(*answered(s, d)),
+    "answer_faults": faulty,
     "standalone_queries": follow_ups,
     "handoffs_needed": handed_over,
     "staff_inbox": lambda s, d: V.staff_inbox(accounts(s, d), sessions(s, d), messages(s, d)),
@@ -128,6 +144,9 @@ ORACLE_SQL = {
     "lexical_assessment": f"WITH {_QUESTIONS} SELECT query_id, CASE WHEN products > 0 AND (supported OR (carries AND products = 1)) THEN 'sufficient' ELSE 'insufficient' END AS status FROM j",
     "fallback_messages": f"WITH {_QUESTIONS}, n AS (SELECT l_orderkey AS query_id, string_agg(DISTINCT '- Product ' || (l_partkey % 3), chr(10) ORDER BY '- Product ' || (l_partkey % 3)) AS names FROM lineitem GROUP BY 1) SELECT query_id, CASE WHEN status = 'error' THEN '{A.SEARCH_FAILED}' WHEN status = 'ambiguous' THEN coalesce('{A.CHOOSE_BEFORE}' || names || '{A.CHOOSE_AFTER}', '{A.AMBIGUOUS}') ELSE '{A.NO_ANSWER}' END AS message FROM a LEFT JOIN n USING (query_id)",
     "claim_errors": "SELECT l_orderkey AS answer_id, (count(*) * 10 + 1) || 'ปี' AS claim FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY 1",
+    "answer_faults": """WITH a AS (SELECT l_orderkey AS answer_id, CAST(sum(l_quantity) AS BIGINT) AS q, l_orderkey % 3 AS p, l_orderkey * 5 % 8 AS kind FROM lineitem GROUP BY l_orderkey),
+f AS (SELECT *, CASE WHEN kind = 7 THEN 'no citations' WHEN kind = 3 AND p = 2 THEN 'not retrieved' WHEN kind = 0 AND p = 2 THEN 'page below one' WHEN kind IN (0, 1, 2, 3) AND p > 0 OR kind = 4 OR kind = 5 AND p <> 1 THEN 'figure' WHEN kind = 5 THEN 'denied' WHEN kind = 6 THEN 'nothing in common' END AS fault FROM a)
+SELECT answer_id, fault, CASE fault WHEN 'figure' THEN CASE kind WHEN 1 THEN (q + 50) || 'ปี' WHEN 2 THEN '1,' || lpad(CAST(q AS VARCHAR), 3, '0') || 'บาท' WHEN 5 THEN CAST(p AS VARCHAR) ELSE q || 'ปี' END WHEN 'denied' THEN 'คุ้มครองโรค1' END AS claim FROM f WHERE fault IS NOT NULL""",
     "handoffs_needed": "SELECT event_id, event_type = 'error' OR (event_id % 2 = 0 AND event_id % 7 % 2 = 0 AND event_id % 5 <> 0 AND event_id % 3 <> 2) AS needs_staff FROM events",
     "staff_inbox": f"WITH {_ACCOUNTS}, {_SESSIONS}, {_TOLD} SELECT a.owner_id, username, s.session_id, last_active_at, coalesce(message_count, 0) AS message_count, last_message_at FROM accounts a LEFT JOIN sessions s ON s.owner_id = a.owner_id AND s.status = 'active' LEFT JOIN told t ON t.session_id = s.session_id WHERE account_role = 'customer'",
     "open_handoffs": f"WITH {_ACCOUNTS}, {_CASES} SELECT cases.*, username AS assigned_staff_name FROM cases LEFT JOIN accounts ON owner_id = assigned_staff_id WHERE status IN ('pending', 'active')",
