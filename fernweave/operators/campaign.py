@@ -5,6 +5,9 @@ Labels: 0 rejected, 1 and 2 accepted (two products); null and other labels count
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -125,60 +128,107 @@ def top_values(frame: DataFrame, columns: list[str], most: int = 10) -> DataFram
     return counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("field", "value", "records", "place")
 
 
-def _pairs(frame: DataFrame, columns: list[str]) -> DataFrame:
-    """(field, value) of the numbers in some columns."""
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in columns]))
-    return frame.select(each.alias("p")).select("p.*").where("value is not null and not isnan(value)")
-
-
-def _range_of(value: Column) -> Column:
-    """The range of a number, by its sign and first three digits; larger numbers have no smaller range."""
-    size = F.abs(value)
-    unit = F.pow(F.lit(10.0), F.floor(F.log10(size)) - 2)
-    near = F.signum(value) * F.least(F.floor(size / unit), F.lit(999)) * unit
-    return F.when(size < 1e-300, 0.0).when(size == float("inf"), value).otherwise(near)
-
-
-def exact_quantiles(pairs: DataFrame, quantiles: tuple[float, ...]) -> DataFrame:
-    """(field, q): interpolated quantiles of pairs (field, value) without nulls, in the order that they are asked for.
-
-    Values are counted by range first; only those in ranges that hold a rank asked for are put in order, so that no task
-    sees all values of a field.
+@dataclass
+class _Range:
+    """Where the two values beside one quantile of a field lie: ranks from ``below`` on, between two values, both included."""
+
+    field: str
+    place: float  # (n - 1) * q
+    whole: int  # numbers of the field
+    low: float = -math.inf
+    high: float = math.inf
+    below: int = 0
+    within: int = 0
+    inner: int = 0  # without both ends, which are one value each
+
+
+def _number(column: str) -> Column:
+    value = F.col(column).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def _narrowed(frame: DataFrame, ranges: list[_Range], accuracy: int) -> None:
+    """Cut ranges by a sketch of the values in them, and count exactly what is below and within each; two passes."""
+    margin = 8 / accuracy
+    asked = []
+    for k, r in enumerate(ranges):
+        value = _number(r.field)
+        first, last = (math.floor(r.place) - r.below) / r.within, (math.ceil(r.place) + 1 - r.below) / r.within
+        cut = [max(0.0, first - margin), min(1.0, last + margin)]
+        asked.append(F.percentile_approx(F.when(value.between(r.low, r.high), value), F.array(*map(F.lit, cut)), accuracy).alias(f"c{k}"))
+    cuts = frame.agg(*asked).first()
+    for k, r in enumerate(ranges):
+        r.low, r.high = cuts[k]
+    values = [_number(r.field) for r in ranges]
+    counts = frame.agg(
+        *(F.count_if(v < r.low).alias(f"b{k}") for k, (v, r) in enumerate(zip(values, ranges, strict=True))),
+        *(F.count_if(v.between(r.low, r.high)).alias(f"w{k}") for k, (v, r) in enumerate(zip(values, ranges, strict=True))),
+        *(F.count_if((v > r.low) & (v < r.high)).alias(f"i{k}") for k, (v, r) in enumerate(zip(values, ranges, strict=True))),
+    ).first()
+    for k, r in enumerate(ranges):
+        r.below, r.within, r.inner = counts[f"b{k}"], counts[f"w{k}"], counts[f"i{k}"]
+        if not r.below <= math.floor(r.place) or not math.ceil(r.place) < r.below + r.within:  # beyond what the sketch promises
+            r.low, r.high, r.below, r.within, r.inner = -math.inf, math.inf, 0, r.whole, r.whole
+
+
+def exact_quantiles(frame: DataFrame, columns: list[str], quantiles: tuple[float, ...], counts: dict[str, int] | None = None, most: int = 1 << 20, accuracy: int = 10_000) -> DataFrame:
+    """(field, q): exact interpolated quantiles of the numbers in some columns; fields without a number have no row.
+
+    While more than ``most`` rows could hold a rank, a sketch says between which values it lies, and only those are looked at
+    further: each round leaves a few thousandths of them, whatever their distribution, and a range of one value is done. So no task
+    puts more than ``most`` values in order, and the driver holds a range for each quantile of a field. counts: numbers of the
+    columns, where they are known.
     """
-    ranged = pairs.withColumn("range", _range_of(F.col("value")))
-    counts = ranged.groupBy("field", "range").agg(F.count(F.lit(1)).alias("n"))  # some thousand ranges of a field
-    order = W.partitionBy("field").orderBy("range")
-    placed = counts.withColumns({"upto": F.sum("n").over(order), "whole": F.sum("n").over(W.partitionBy("field"))})
-    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(q).alias("q")) for k, q in enumerate(quantiles)])).alias("a")
-    place = (F.col("whole") - 1) * F.col("a.q")
-    wanted = placed.select("*", asked).withColumn("place", place).select("field", "range", "n", "upto", F.col("a.k").alias("k"), "place", F.explode(F.array(F.floor("place"), F.ceil("place"))).alias("rank"))
-    wanted = wanted.where("rank < upto and rank >= upto - n").distinct()
-    held = F.broadcast(wanted.select("field", "range", (F.col("upto") - F.col("n")).alias("before")).distinct())  # two of a quantile
-    values = ranged.join(held, ["field", "range"]).groupBy("field", "range", "before", "value").agg(F.count(F.lit(1)).alias("m"))
-    ends = values.withColumn("end", F.col("before") + F.sum("m").over(W.partitionBy("field", "range").orderBy("value")))
-    found = ends.join(F.broadcast(wanted.drop("n", "upto")), ["field", "range"]).where("rank < end and rank >= end - m")
-    each = found.groupBy("field", "k", "place").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    spark = frame.sparkSession
+    counts = counts or frame.agg(*(F.count(_number(c)).alias(c) for c in columns)).first().asDict()
+    ranges = {(c, k): _Range(c, (counts[c] - 1) * q, counts[c], within=counts[c], inner=counts[c]) for c in columns if counts[c] for k, q in enumerate(quantiles)}
+    for _ in range(64):
+        wide = [r for r in ranges.values() if r.inner > most and r.low < r.high]
+        if not wide:
+            break
+        before = [r.inner for r in wide]
+        _narrowed(frame, wide, accuracy)
+        if [r.inner for r in wide] == before:
+            break
+    one = {key: r for key, r in ranges.items() if r.low == r.high}
+    rest = {key: r for key, r in ranges.items() if key not in one}
+    spans = sorted({(r.field, r.low, r.high, r.below) for r in rest.values()})
+    each = F.array(*(F.when(_number(f).between(low, high), F.struct(F.lit(k).alias("span"), _number(f).alias("value"))) for k, (f, low, high, _) in enumerate(spans))) if spans else F.array().cast("array<struct<span int, value double>>")
+    held = frame.select(F.explode(F.array_compact(each)).alias("p")).select("p.*").groupBy("span", "value").agg(F.count(F.lit(1)).alias("m"))
+    ends = held.withColumn("end", F.sum("m").over(W.partitionBy("span").orderBy("value")))
+    number = {s: k for k, s in enumerate(spans)}
+    wanted = [(number[r.field, r.low, r.high, r.below], rank - r.below, c, k, r.place) for (c, k), r in rest.items() for rank in {math.floor(r.place), math.ceil(r.place)}]
+    asked = spark.createDataFrame(wanted, "span int, rank long, field string, k int, place double")
+    found = ends.join(F.broadcast(asked), "span").where("rank < end and rank >= end - m")  # two of a quantile
+    known = spark.createDataFrame([(c, k, r.place, r.low) for (c, k), r in one.items()], "field string, k int, place double, value double")
+    pairs = found.select("field", "k", "place", "value").unionByName(known).groupBy("field", "k", "place").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     share = F.col("place") - F.floor("place")
     value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") * (1 - share) + F.col("high") * share)
-    return each.groupBy("field").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", value.alias("v")))), lambda x: x["v"]).alias("q"))
+    return pairs.groupBy("field").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", value.alias("v")))), lambda x: x["v"]).alias("q"))
 
 
 def numeric_profile(frame: DataFrame, columns: list[str], quantiles: tuple[float, ...] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """Extremes, mean, sample deviation, exact interpolated quantiles, zeros and negatives of each column."""
-    pairs = _pairs(frame, columns)
-    own = pairs.groupBy("field").agg(
-        F.count("value").alias("non_null"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("deviation"),
-        F.count_if(F.col("value") == 0).alias("zeros"), F.count_if(F.col("value") < 0).alias("negatives"),
-    ).join(exact_quantiles(pairs, quantiles), "field")
-    return own.select("field", "non_null", "least", "most", "mean", "deviation", *[F.round(F.col("q")[i], 6).alias(f"q{round(q * 100):02d}") for i, q in enumerate(quantiles)], "zeros", "negatives")
+    told = {"non_null": F.count, "least": F.min, "most": F.max, "mean": lambda v: F.round(F.avg(v), 6), "deviation": lambda v: F.round(F.stddev_samp(v), 6), "zeros": lambda v: F.count_if(v == 0), "negatives": lambda v: F.count_if(v < 0)}
+    own, counts = _by_field(frame, columns, told, "non_null")
+    found = own.join(exact_quantiles(frame, columns, quantiles, counts), "field")
+    return found.select("field", "non_null", "least", "most", "mean", "deviation", *[F.round(F.col("q")[i], 6).alias(f"q{round(q * 100):02d}") for i, q in enumerate(quantiles)], "zeros", "negatives")
+
+
+def _by_field(frame: DataFrame, columns: list[str], told: dict[str, Callable[[Column], Column]], count: str) -> tuple[DataFrame, dict[str, int]]:
+    """A row of measures for each column, made in one pass, and the numbers that each column holds."""
+    row = frame.agg(*(F.struct(*(f(_number(c)).alias(n) for n, f in told.items())).alias(c) for c in columns)).first()
+    kinds = {"least": "double", "most": "double", "mean": "double", "deviation": "double"}
+    schema = "field string, " + ", ".join(f"{n} {kinds.get(n, 'long')}" for n in told)
+    return frame.sparkSession.createDataFrame([(c, *row[c]) for c in columns], schema), {c: row[c][count] for c in columns}
 
 
 def financial_summary(frame: DataFrame, columns: list[str]) -> DataFrame:
     """Number, quartiles, extremes, zeros and negatives of each money column."""
-    pairs = _pairs(frame, columns)
-    own = pairs.groupBy("field").agg(F.count("value").alias("values"), F.min("value").alias("least"), F.max("value").alias("most"), F.count_if(F.col("value") == 0).alias("zeros"), F.count_if(F.col("value") < 0).alias("negatives"))
+    told = {"values": F.count, "least": F.min, "most": F.max, "zeros": lambda v: F.count_if(v == 0), "negatives": lambda v: F.count_if(v < 0)}
+    own, counts = _by_field(frame, columns, told, "values")
     quartiles = [F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q1", "median", "q3"))]
-    return own.join(exact_quantiles(pairs, (0.25, 0.5, 0.75)), "field").select("field", "values", *quartiles, "least", "most", "zeros", "negatives")
+    return own.join(exact_quantiles(frame, columns, (0.25, 0.5, 0.75), counts), "field").select("field", "values", *quartiles, "least", "most", "zeros", "negatives")
 
 
 def text_profile(frame: DataFrame, columns: list[str]) -> DataFrame:
