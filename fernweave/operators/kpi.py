@@ -24,20 +24,49 @@ def with_rule(performance: DataFrame, rules: DataFrame) -> DataFrame:
 def with_one_rule(performance: DataFrame, rules: DataFrame) -> DataFrame:
     """The rule valid in each month; a month with no rule or with several is refused: the query fails and names it.
 
-    Rules are looked up once for each distinct month, of which there are few.
+    The short list of rules is one row beside each month, in which a month finds its own: no join by ranges, and months are read
+    once. For rules of many owners there is ``with_owner_rule``.
     """
-    rule = [c for c in rules.columns]
-    months = with_rule(performance.select("month_start").distinct(), rules).groupBy("month_start").agg(F.count("rule_id").alias("n_"), F.first(F.struct(*rule), ignorenulls=True).alias("rule_"))
+    rule = rules.columns
+    listed = rules.agg(F.collect_list(F.struct(*rule)).alias("rules_"))
+    month = F.col("month_start")
+    held = performance.crossJoin(F.broadcast(listed)).withColumn("rules_", F.filter("rules_", lambda r: (r["valid_from"] <= month) & (r["valid_to"].isNull() | (month <= r["valid_to"]))))
+    return _one_of(held, performance.columns, rule)
+
+
+def _one_of(held: DataFrame, columns: list[str], rule: list[str]) -> DataFrame:
+    """The only rule of each row's list ``rules_``; any other number of them is refused."""
     refusal = F.raise_error(F.concat(F.lit("exactly one rule must be valid in "), F.col("month_start").cast("string")))
-    one = months.select("month_start", F.when(F.col("n_") == 1, F.col("rule_")).otherwise(refusal).alias("rule_"))
-    return performance.join(one, "month_start").select(*performance.columns, *[F.col("rule_")[c].alias(c) for c in rule])
+    one = F.when(F.size("rules_") == 1, F.get("rules_", F.lit(0))).otherwise(refusal)
+    return held.withColumn("rule_", one).select(*columns, *[F.col("rule_")[c].alias(c) for c in rule])
+
+
+def with_owner_rule(performance: DataFrame, rules: DataFrame, owner: str = "owner_id") -> DataFrame:
+    """The rule of each row's owner that is valid in its month, for any number of owners and rules; refused as in ``with_one_rule``.
+
+    An interval is cut at years, and rows meet the pieces of their own year and owner (an equal join); one without an end meets its
+    owner's rows by the owner alone. Then the bounds are checked. Rows without an owner have no rule and are refused.
+    """
+    rule = [c for c in rules.columns if c != owner]
+    whole = F.struct(*rule)
+    cut = rules.where("valid_to is not null and valid_to >= valid_from").select(owner, F.explode(F.sequence(F.year("valid_from"), F.year("valid_to"))).alias("year_"), whole.alias("rule_"))
+    closed = cut.groupBy(owner, "year_").agg(F.collect_list("rule_").alias("closed_"))  # the rules of an owner in a year
+    unended = rules.where("valid_to is null").groupBy(owner).agg(F.collect_list(whole).alias("open_"))
+    month, none = F.col("month_start"), F.array().cast(closed.schema["closed_"].dataType)
+    met = performance.withColumn("year_", F.year(month)).join(closed, [owner, "year_"], "left").join(unended, owner, "left")
+    found = F.filter(F.concat(F.coalesce("closed_", none), F.coalesce("open_", none)), lambda r: (r["valid_from"] <= month) & (r["valid_to"].isNull() | (month <= r["valid_to"])))
+    return _one_of(met.withColumn("rules_", found), performance.columns, rule)
+
 
+def overlapping_rules(rules: DataFrame, owner: str | None = None) -> DataFrame:
+    """Pairs (earlier, rule_id), with the owner if rules have one, of rules that begin before the one before has ended.
 
-def overlapping_rules(rules: DataFrame) -> DataFrame:
-    """Rules that begin before the one before has ended."""
-    order = W.orderBy("valid_from", "rule_id")
+    With an owner each owner's rules are gone through apart. Without one the rules are a short list and one task orders it.
+    """
+    keys = [owner] if owner else []
+    order = W.partitionBy(*keys).orderBy("valid_from", "rule_id")
     marked = rules.withColumns({"earlier": F.lag("rule_id").over(order), "earlier_to": F.lag("valid_to").over(order)})
-    return marked.where("earlier is not null and (earlier_to is null or earlier_to >= valid_from)").select("earlier", "rule_id")
+    return marked.where("earlier is not null and (earlier_to is null or earlier_to >= valid_from)").select(*keys, "earlier", "rule_id")
 
 
 def rule_errors(operator: Column | None = None) -> Column:
@@ -107,6 +136,23 @@ def contract_events(streaks: DataFrame) -> DataFrame:
     return marked.select("agent_id", "from_type", "to_type", F.add_months(F.trunc("month_start", "MM"), 1).alias("effective_from"), "month_start")
 
 
+def reported(agents: DataFrame, streaks: DataFrame) -> DataFrame:
+    """The report of ``kpi_report`` straight from the judged months: an event takes effect in the month behind its own.
+
+    So the event that meets a month is that of the row before it, if that is of the month before: a window, and no second reading of
+    the months.
+    """
+    order = W.partitionBy("agent_id").orderBy("month_start")
+    target = F.when(F.col("pass_streak") >= F.col("required"), "salary").when(F.col("fail_streak") >= F.col("required"), "commission")
+    marked = streaks.withColumn("target", target)
+    before = F.coalesce(F.last("target", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)), F.col("initial_type"))
+    moved = marked.withColumn("moved", F.when(F.col("target") != before, F.col("target")))
+    follows = month_number(F.col("month_start")) - F.lag(month_number(F.col("month_start"))).over(order) == 1
+    told = moved.withColumn("to_type", F.when(follows, F.lag("moved").over(order)))
+    joined = agents.select("agent_id", "agent_name").join(told, "agent_id")
+    return joined.select("agent_id", "agent_name", "month_start", (F.col("premium") / 100.0).alias("premium"), "policies", "result", "pass_streak", "fail_streak", "to_type").orderBy("agent_id", "month_start")
+
+
 def kpi_report(agents: DataFrame, results: DataFrame, events: DataFrame) -> DataFrame:
     """Each agent's months with the contract event that takes effect in them, if any; money in units of 100; in order.
 
