@@ -193,3 +193,17 @@ def is_safe_question(text: Column) -> Column:
     # Terms of lead collection
     lead = has_any(low, ("ชื่อ", "อาชีพ", "รายได้", "เบอร์", "โทรศัพท์", "phone", "income"))
     return (F.length(F.trim(text)) > 0) & (F.length(text) <= 140) & ~lead & ~has_any(low, INTEREST) & ~text.rlike(r"\d{7,}|[\w.+-]+@[\w.-]+")
+
+
+def canonical_json(columns: dict[str, Column]) -> Column:
+    """Columns as one JSON object with sorted names, ``, `` between members and ``: `` behind names; nulls are null.
+
+    Texts are escaped as JSON asks and not beyond (letters of all scripts stay), decimals keep their digits.
+    """
+
+    def member(value: Column) -> Column:
+        one = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+        return F.substr(one, F.lit(6), F.length(one) - 6)  # what stands behind {"v":
+
+    parts = [F.concat(F.lit(f'"{name}": '), member(value)) for name, value in sorted(columns.items())]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))

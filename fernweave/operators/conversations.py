@@ -15,8 +15,10 @@ def inbox(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     return joined.select("conv_id", "status", F.coalesce("messages", F.lit(0)).alias("messages"), "last_turn", F.coalesce(F.substring("first_text", 1, 72), F.lit("New conversation")).alias("title"))
 
 
-def last_messages(messages: DataFrame, most: int) -> DataFrame:
-    """The last messages of each conversation, numbered from the oldest of them."""
+def last_messages(messages: DataFrame, most: int, purpose: str | None = None) -> DataFrame:
+    """The last messages of each conversation, numbered from the oldest of them; with a purpose, of those that have it."""
+    if purpose is not None:
+        messages = messages.where(F.col("purpose") == purpose)
     back = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn")))
     kept = messages.withColumn("back", back).where(F.col("back") <= most)
     return kept.withColumn("place", F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))).drop("back")
@@ -47,6 +49,20 @@ def live_logins(logins: DataFrame, now: Column) -> DataFrame:
     return logins.where(F.col("revoked_at").isNull() & (F.col("expires_at") > now))
 
 
+def restored_logins(logins: DataFrame, accounts: DataFrame, now: Column) -> DataFrame:
+    """(token_hash, owner_id, username, account_role): the account that each live login restores; others restore none."""
+    return live_logins(logins, now).join(accounts, "owner_id").select("token_hash", "owner_id", "username", "account_role")
+
+
+def leads_of_sessions(sessions: DataFrame, leads: DataFrame, now: Column) -> DataFrame:
+    """The saved lead of each session's owner, as staff see it, and whether it is stale; sessions without one are left out.
+
+    leads: an owner at most once, with profile_verified_at, updated_at and created_at.
+    """
+    stale = is_stale(F.col("profile_verified_at"), F.col("updated_at"), F.col("created_at"), now)
+    return sessions.select("session_id", "owner_id").join(leads.withColumn("is_stale", stale), "owner_id")
+
+
 def elapsed(events: DataFrame, key: str, time: str, order: str) -> DataFrame:
     """elapsed_us: microseconds since the event before of the same key; null for the first."""
     before = F.lag(F.col(time)).over(W.partitionBy(key).orderBy(time, order))

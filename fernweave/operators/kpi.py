@@ -87,6 +87,7 @@ def performance_errors(with_agent: bool = False) -> Column:
         "first of month": F.col("month_start") != F.trunc("month_start", "MM"),
         "status": ~F.coalesce(F.col("status").isin("COMPLETE", "PENDING"), F.lit(False)),
         "negative": (F.col("premium") < 0) | (F.col("policies") < 0),
+        "whole": (F.col("premium") != F.floor("premium")) | (F.col("policies") != F.floor("policies")),
         "incomplete": (F.col("status") == "COMPLETE") & (F.col("premium").isNull() | F.col("policies").isNull()),
         "repeated month": F.count(F.lit(1)).over(W.partitionBy("agent_id", "month_start")) > 1,
     }

@@ -62,6 +62,28 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> Data
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
+def read_jdbc_parts(spark: SparkSession, url: str, table: str, key: str, parts: int = 16, where: str | None = None, columns: list[str] | None = None, **options: str) -> DataFrame:
+    """A table of a database read in ranges of a whole-number key, each by a task; null keys come with the first range.
+
+    The bounds are asked of the database, so ranges follow its keys; where: a condition that it applies itself. An empty table is
+    read at once.
+    """
+    chosen = f"(select {', '.join(columns) if columns else '*'} from {table}{f' where {where}' if where else ''}) t"
+    least, most = read_jdbc(spark, url, f"(select min({key}) as a, max({key}) as b from {table}{f' where {where}' if where else ''}) t", **options).first()
+    if least is None:
+        return read_jdbc(spark, url, chosen, **options)
+    return read_jdbc(spark, url, chosen, partitionColumn=key, lowerBound=str(int(least)), upperBound=str(int(most) + 1), numPartitions=str(parts), **options)
+
+
+def open_table(spark: SparkSession, backend: str, place: str, name: str, **options: str) -> DataFrame:
+    """A table by the backend that a setting names: ``local`` for Parquet in a folder, ``jdbc`` for a database; others are refused."""
+    if backend == "local":
+        return read_table(spark, place, name)
+    if backend == "jdbc":
+        return read_jdbc(spark, place, name, **options)
+    raise ValueError(f"there is no backend {backend!r}: local or jdbc")
+
+
 def _finite(value: Column, kind: DataType) -> Column:
     """A value with NaN and infinite numbers, at any depth, as null."""
     if isinstance(kind, (DoubleType, FloatType)):
