@@ -98,14 +98,17 @@ class Lexicon:
         self.values, self.lengths = prefix_code(weights)
         self.letter_values, self.letter_lengths = prefix_code(letters)
         self.least = int(weights[2:].min(initial=1 << 62))
+        #: Where the words begin whose identities have the same high bits; hashes fall evenly, so few share them.
+        self.first = np.searchsorted(self.ids, np.arange(1 << 19, dtype=np.uint64) << _U(45)).astype(np.int32)
+        self.most = int(np.diff(np.append(self.first, len(ids))).max(initial=0))
 
     def symbols_of(self, ids: np.ndarray) -> np.ndarray:
         """The symbol of each word, 1 for those beyond."""
         out = np.where(ids == _U(END), np.int32(0), np.int32(1))
-        if len(self.ids):
-            at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
-            known = self.ids[at] == ids
-            out[known] = self.symbols[at[known]]
+        at = self.first.take((ids >> _U(45)).astype(np.int64)) if len(self.ids) else np.zeros(len(ids), np.int32)
+        for step in range(self.most):
+            found = np.flatnonzero(self.ids.take(at + step, mode="clip") == ids)
+            out[found] = self.symbols.take(at[found] + step, mode="clip")
         return out
 
 
@@ -238,14 +241,15 @@ class Decisions:
         whole, kinds = value.take(unit), kind.take(unit)
         prefix = ((_V(1) << (4 * group).astype(_V)) | (whole >> shift.astype(_V))) * _V(0x9E3779B1) + kinds
         bits = np.minimum(shift, 4)
-        line = np.repeat(np.arange(len(unit)), bits)
         # each line holds the bits behind one prefix of the code: 15 places, by the bits before within the line
-        inner = (np.arange(len(line)) - (np.cumsum(bits) - bits).take(line)).astype(_V)
         four = (whole >> (shift - bits).astype(_V)) & ((_V(1) << bits.astype(_V)) - _V(1))
-        marked = (four | (_V(1) << bits.astype(_V))).take(line) >> (bits.astype(_V).take(line) - inner - _V(1))  # 1, the bits before, the bit
-        self.bit = (marked & _V(1)).astype(np.uint8)
-        local = (marked >> _V(1)).astype(np.int64)
-        self.gate = np.where(kinds == 1, 5, np.minimum(group, 4)).take(line)
+        gate = np.where(kinds == 1, 5, np.minimum(group, 4))
+        packed = np.repeat(((four | (_V(1) << bits.astype(_V))) | (bits << 5) | (gate << 8)).astype(np.uint16), bits)
+        left = np.repeat(np.cumsum(bits, dtype=np.int32), bits) - np.arange(1, len(packed) + 1, dtype=np.int32)  # bits of the line behind this one
+        marked = (packed & np.uint16(31)) >> left.astype(np.uint16)  # 1, the bits before, the bit
+        self.bit = (marked & np.uint16(1)).astype(np.uint8)
+        local = (marked >> np.uint16(1)).astype(np.int64)
+        self.gate = (packed >> np.uint16(8)).astype(np.int64)
         down = _V(32 - (log - 4))
         self.slots = []
         for context in contexts:
@@ -257,12 +261,12 @@ class Decisions:
             base = base * _V(0x85EBCA6B)
             base = base ^ (base >> _V(13))
             base = (((base * _V(0xC2B2AE35)) >> down) << _V(4)).astype(np.int64)
-            self.slots.append(base.take(line) | local)
+            self.slots.append(np.repeat(base, bits) | local)
         self.count = np.add.reduceat(bits, np.cumsum(lines) - lines) if len(unit) else np.zeros(0, np.int64)  # bits of each unit
 
 
 def decisions(units: Units, log: int, alone: bool = True) -> Iterator[tuple[np.ndarray, Decisions]]:
-    """Bits of about UNITS units at a time, and the part of each bit.
+    """Bits of about UNITS units at a time, with the parts that they are of and the number of each one's bits.
 
     alone: with the counter of the place in the code alone before those of the contexts. Parts stay whole or are cut at UNITS
     units of their own, so a text is always written in the same pieces.
@@ -279,7 +283,10 @@ def decisions(units: Units, log: int, alone: bool = True) -> Iterator[tuple[np.n
     for a, b in [*cuts, (start, len(units))]:
         s = slice(a, b)
         d = Decisions(units.value[s], units.length[s], units.kind[s], [*([None] if alone else []), *(c[s] for c in units.contexts)], log)
-        yield np.repeat(units.part[s], d.count), d
+        own = units.part[s]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+        d.sizes = np.add.reduceat(d.count, first) if len(own) else first
+        yield own[first], d
 
 
 def states(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -337,10 +344,9 @@ class Model:
         return [(self.mixer.weights[:, k, np.arange(CLASSES << 8) >> 8] * _LOGITS).ravel() for k in range(INPUTS)]
 
 
-def runs_of(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First bit and length of each run: bits of one owner, STEPS at most; the longest first."""
-    edges = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    lengths = np.diff(np.append(edges, len(owner)))
+def runs_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bit and length of each run: bits of one part, STEPS at most; the longest first. lengths: bits of the parts."""
+    edges = np.cumsum(lengths) - lengths
     pieces = -(-lengths // STEPS)
     within = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     first = np.repeat(edges, pieces) + within * STEPS
@@ -349,19 +355,19 @@ def runs_of(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[order], size[order]
 
 
-def score_bits(model: Model, d: Decisions, owner: np.ndarray) -> np.ndarray:
-    """log2 of the probability of each bit; bits of one owner follow one another."""
+def score_bits(model: Model, d: Decisions) -> np.ndarray:
+    """log2 of the probability of each bit."""
     gate = d.gate * (CLASSES << 8)
-    inputs = [own.take(gate + model.tables[k].take(slots)) for k, (slots, own) in enumerate(zip(d.slots, model.weighted(), strict=True))]
-    first, size = runs_of(owner)
-    flat = np.zeros(len(owner), np.float32)
+    inputs = [own.take(gate + model.tables[k].take(slots, mode="clip"), mode="clip") for k, (slots, own) in enumerate(zip(d.slots, model.weighted(), strict=True))]
+    first, size = runs_of(d.sizes)
+    flat = np.zeros(len(d.bit), np.float32)
     for most in (STEPS, STEPS // 8, STEPS // 64):  # runs of about one length together
         a, b = np.searchsorted(-size, [-most, -(most // 8) if most > STEPS // 64 else 0], side="left")
         if b > a:
             _lockstep(inputs, d.bit, first[a:b], size[a:b], flat)
     flat += np.float32(MOST)
     flat *= np.float32((FINE - 1) / (2 * MOST))
-    return model.mixer.costs().take(flat.astype(np.int64) + d.gate * (2 * FINE) + d.bit * np.int64(FINE))
+    return model.mixer.costs().take(flat.astype(np.int64) + d.gate * (2 * FINE) + d.bit * np.int64(FINE), mode="clip")
 
 
 def _lockstep(inputs: list[np.ndarray], bit: np.ndarray, first: np.ndarray, size: np.ndarray, out: np.ndarray) -> None:
@@ -374,8 +380,8 @@ def _lockstep(inputs: list[np.ndarray], bit: np.ndarray, first: np.ndarray, size
     place = np.minimum(first[None] + np.arange(steps)[:, None], len(bit) - 1)
     x = np.empty((steps, len(inputs), len(first)), np.float32)
     for k, column in enumerate(inputs):
-        np.negative(column.take(place), out=x[:, k])
-    want = bit.take(place) * rate
+        np.negative(column.take(place, mode="clip"), out=x[:, k])
+    want = bit.take(place, mode="clip") * rate
     mixed = np.zeros(place.shape, np.float32)
     own = np.ones((len(inputs), len(first)), np.float32)
     with np.errstate(over="ignore"):  # beyond 88 the exponential is infinite and the prediction 0
@@ -396,11 +402,11 @@ def _lockstep(inputs: list[np.ndarray], bit: np.ndarray, first: np.ndarray, size
     out[place[:, full:][used]] = mixed[:, full:][used]
 
 
-def learn(mixer: Mixer, model: Model, d: Decisions, owner: np.ndarray, spent: np.ndarray, visits: np.ndarray, seen: np.ndarray) -> None:
+def learn(mixer: Mixer, model: Model, d: Decisions, spent: np.ndarray, visits: np.ndarray, seen: np.ndarray) -> None:
     """One pass of online learning over some bits, in lockstep; seen counts zeros and ones by cell of the map."""
     logits, cells = model.inputs(d)
     weights = mixer.weights.reshape(-1)
-    first, size = runs_of(owner)
+    first, size = runs_of(d.sizes)
     lanes = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
     for t, n in enumerate(lanes.tolist()):
         at = first[:n] + t
@@ -571,8 +577,8 @@ def fit_mixer(texts: DataFrame, model: Broadcast) -> Mixer:
         spent, visits, seen = np.zeros(cells), np.zeros(cells, np.int64), np.zeros((2, GATES, CELLS), np.int64)
         for batch in batches:
             for tokens, _ in _tokens(_texts(batch, 0)):
-                for part, d in decisions(Units(tokens, own.lexicon.symbols_of(tokens.ids), own.lexicon), own.log):
-                    learn(mixer, own, d, part, spent, visits, seen)
+                for _, d in decisions(Units(tokens, own.lexicon.symbols_of(tokens.ids), own.lexicon), own.log):
+                    learn(mixer, own, d, spent, visits, seen)
         used = np.flatnonzero(visits)
         scaled = np.rint(mixer.weights.ravel()[used].astype(np.float64) * 4096).astype(np.int64) * visits[used]
         yield _count_rows(0, used, scaled)
@@ -643,7 +649,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 for part in np.unique(text[away]).tolist():
                     beyond[part].append(tokens.ids[away[text[away] == part]])
                 for part, d in decisions(Units(tokens, symbols, own.lexicon), own.log):
-                    bits -= np.bincount(of[part], score_bits(own, d, part), n)
+                    if len(part):
+                        bits -= np.bincount(of[part], np.add.reduceat(score_bits(own, d).astype(np.float64), np.cumsum(d.sizes) - d.sizes), n)
                 size += np.bincount(of, tokens.sizes, n).astype(np.int64)
             rows = [np.unique(np.concatenate(b), return_counts=True) if b else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for b in beyond]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])]), pa.int32())

@@ -85,8 +85,8 @@ def test_lockstep_equals_a_loop_over_bits():
     texts = [t for _, t in corpus(40, 3)]
     model = small_model(texts)
     for tokens, _ in cm._tokens(t.encode() for t in texts):
-        for owner, d in cm.decisions(cm.Units(tokens, model.lexicon.symbols_of(tokens.ids), model.lexicon), 14):
-            got = cm.score_bits(model, d, owner)
+        for part, d in cm.decisions(cm.Units(tokens, model.lexicon.symbols_of(tokens.ids), model.lexicon), 14):
+            got, owner = cm.score_bits(model, d), np.repeat(part, d.sizes)
             logits, cells = model.inputs(d)
             weights, costs = model.mixer.weights.ravel(), model.mixer.costs()
             own, left, before = [1.0] * cm.INPUTS, 0, None
@@ -145,7 +145,7 @@ def test_scores_do_not_depend_on_neighbours():
         out = np.zeros(len(group))
         for tokens, owner in cm._tokens(t.encode() for t in group):
             for part, d in cm.decisions(cm.Units(tokens, model.lexicon.symbols_of(tokens.ids), model.lexicon), 14):
-                out += np.bincount(np.array(owner)[part], cm.score_bits(model, d, part), len(group))
+                out += np.bincount(np.array(owner)[np.repeat(part, d.sizes)], cm.score_bits(model, d), len(group))
         return out
 
     assert scores(texts)[::3] == pytest.approx(scores(texts[::3]), rel=1e-5)
