@@ -70,10 +70,11 @@ def rankings(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def gated(s: SparkSession, d: str) -> DataFrame:
-    """Whether the ten best chunks of each benchmark text bear it."""
+    """Whether the ten best chunks of each benchmark text by both rankings bear it; their scores are the semantic ones, 0 for others."""
     asked = read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    found = R.bm25(asked_terms(s, d), chunks(s, d)).where("place <= 10").select("query_id", "chunk_id").join(chunks(s, d), "chunk_id")
-    return R.evidence_gate(asked, found.select("query_id", F.col("lang").alias("product_id"), F.lit("").alias("product_name"), "text", F.lit(0.5).alias("score")))
+    semantic, lexical = rankings(s, d)
+    found = R.fused(semantic, lexical, 10).select("query_id", "chunk_id").join(semantic.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"], "left").join(chunks(s, d), "chunk_id")
+    return R.evidence_gate(asked, found.select("query_id", F.col("lang").alias("product_id"), F.lit("").alias("product_name"), "text", F.coalesce("score", F.lit(0.0)).alias("score")))
 
 
 SCORE_SQL = "list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))"
