@@ -281,8 +281,30 @@ def measures(frame: DataFrame, visible_labels: list[int] | None, by: list[str] |
     return grouped.agg(F.count_if(seen).alias("visible"), *acceptance_columns(label)[1:]).where("visible > 0")
 
 
+def under_slicers(frame: DataFrame, slices: dict[str, list[str]]) -> DataFrame:
+    """Rows that slicers on some columns leave; an empty list of values leaves all."""
+    for column, values in slices.items():
+        if values:
+            frame = frame.where(F.col(column).isin(*values))
+    return frame
+
+
+def cards(frame: DataFrame, slices: dict[str, list[str]], visible_labels: list[int] | None = None, label_col: str = "label") -> DataFrame:
+    """The four cards of a report under its slicers, as one row: total rows, visible responses, accepted ones, and their rate.
+
+    The slicer on the label counts for the visible responses alone.
+    """
+    label = F.col(label_col)
+    seen = label.isin(*visible_labels) if visible_labels else F.lit(True)
+    told = under_slicers(frame, slices).agg(F.count(F.lit(1)).alias("total"), F.count_if(seen).alias("visible"), *acceptance_columns(label)[1:])
+    return told.select("total", "visible", "accepted", "rate")
+
+
+def detail(frame: DataFrame, by: list[str], average: str, slices: dict[str, list[str]] | None = None) -> DataFrame:
+    """The table of a report: the mean of a column and the records of each combination of some others, under slicers."""
+    return under_slicers(frame, slices or {}).groupBy(*by).agg(F.round(F.avg(average), 6).alias(f"mean_{average}"), F.count(F.lit(1)).alias("records"))
+
+
 def visual(frame: DataFrame, by: list[str], slices: dict[str, list[str]] | None = None, order: list[Column] | None = None, label_col: str = "label") -> DataFrame:
     """What a report shows by some columns under slicers on others: counts and rates, most accepted first or in the order given."""
-    for column, values in (slices or {}).items():
-        frame = frame.where(F.col(column).isin(*values))
-    return frame.groupBy(*by).agg(*acceptance_columns(F.col(label_col))).orderBy(*(order or [F.desc("accepted")]), *by)
+    return under_slicers(frame, slices or {}).groupBy(*by).agg(*acceptance_columns(F.col(label_col))).orderBy(*(order or [F.desc("accepted")]), *by)

@@ -47,6 +47,13 @@ def campaign(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _told(spark: SparkSession, folder: str) -> DataFrame:
+    return campaign(spark, folder).withColumns({"response": C.response_label(F.col("label")), "income_band": C.income_band(F.col("income"), CUTS)})
+
+
+RESPONSE_SQL = "CASE label WHEN 0 THEN 'Rejected' WHEN 1 THEN 'First product' WHEN 2 THEN 'Second product' ELSE 'Unknown' END"
+
+
 def _each(fields: list[str], expression: str) -> str:
     """SQL of one SELECT for each field, put together."""
     return " UNION ALL ".join(expression.format(c=c) for c in fields)
@@ -83,6 +90,11 @@ QUERIES = {
     "flow_mismatches": lambda s, d: C.flow_mismatches(campaign(s, d), "net_flow", "inflow", "outflow"),
     "quality_flags": lambda s, d: C.quality_flags(campaign(s, d), FIELDS, compare=("outflow", "net_flow")),
     "measures_by_month": lambda s, d: C.measures(campaign(s, d), [1], ["month_name"]),
+    "visual_by_response": lambda s, d: C.visual(_told(s, d), ["response"], {"segment": ["BUILDING", "FURNITURE"]}, [F.desc("records")]),
+    "visual_by_income": lambda s, d: C.visual(_told(s, d), ["income_band"], {"priority": []}),
+    "visual_by_segment": lambda s, d: C.visual(campaign(s, d), ["segment"], {"month_name": ["Jan", "Feb", "Mar"], "priority": ["1-URGENT", "2-HIGH"]}),
+    "report_cards": lambda s, d: C.cards(campaign(s, d), {"segment": ["BUILDING"], "priority": ["1-URGENT", "5-LOW"], "month_name": ["Jan", "Jun", "Smarch"]}, [0, 1]),
+    "report_detail": lambda s, d: C.detail(_told(s, d), ["segment", "priority", "month_name", "response", "income_band"], "age", {"segment": ["BUILDING", "MACHINERY"]}),
     "measures_detail": lambda s, d: campaign(s, d).groupBy("segment", "priority", C.response_label(F.col("label")).alias("response")).agg(F.round(F.avg("age"), 6).alias("mean_age"), F.count(F.lit(1)).alias("records")),
 }
 
@@ -114,5 +126,10 @@ ORACLE_SQL = {name: f"WITH {BASE}{sql}" for name, sql in {
     "flow_mismatches": " SELECT count(net_flow - (inflow - outflow)) AS compared, count(CASE WHEN abs(net_flow - (inflow - outflow)) > 0.01 THEN 1 END) AS mismatches FROM campaign",
     "quality_flags": f", m AS ({_each(FIELDS, "SELECT '{c}' AS field, " + _MISSING + " AS missing, CAST(" + _MISSING + " AS DOUBLE) / count(*) AS rate FROM campaign")}), g AS (SELECT count(*) - 1 AS more FROM campaign GROUP BY {', '.join(FIELDS)}) SELECT 'missing' AS \"check\", field AS subject, missing AS records, CASE WHEN rate > 0.2 THEN 'alert' WHEN rate > 0.05 THEN 'warn' ELSE 'info' END AS severity FROM m WHERE missing > 0 UNION ALL SELECT 'invalid label', 'label', count(*), 'alert' FROM campaign WHERE label IS NULL OR label NOT IN (0, 1, 2) HAVING count(*) > 0 UNION ALL SELECT 'copies', '*', CAST(sum(more) AS BIGINT), 'warn' FROM g HAVING sum(more) > 0 UNION ALL SELECT 'pair differs', 'outflow/net_flow', count(*), 'info' FROM campaign WHERE outflow <> net_flow HAVING count(*) > 0",
     "measures_by_month": f" SELECT month_name, count(CASE WHEN label IN (1) THEN 1 END) AS visible, {RATE.split(', ', 1)[1]} FROM campaign GROUP BY 1 HAVING count(CASE WHEN label IN (1) THEN 1 END) > 0",
+    "visual_by_response": f" SELECT {RESPONSE_SQL} AS response, {RATE} FROM campaign WHERE segment IN ('BUILDING', 'FURNITURE') GROUP BY 1",
+    "visual_by_income": f" SELECT {INCOME_SQL} AS income_band, {RATE} FROM campaign GROUP BY 1",
+    "visual_by_segment": f" SELECT segment, {RATE} FROM campaign WHERE month_name IN ('Jan', 'Feb', 'Mar') AND priority IN ('1-URGENT', '2-HIGH') GROUP BY 1",
+    "report_cards": f" SELECT records AS total, visible, accepted, rate FROM (SELECT {RATE}, count(CASE WHEN label IN (0, 1) THEN 1 END) AS visible FROM campaign WHERE segment = 'BUILDING' AND priority IN ('1-URGENT', '5-LOW') AND month_name IN ('Jan', 'Jun', 'Smarch'))",
+    "report_detail": f" SELECT segment, priority, month_name, {RESPONSE_SQL} AS response, {INCOME_SQL} AS income_band, round(avg(age), 6) AS mean_age, count(*) AS records FROM campaign WHERE segment IN ('BUILDING', 'MACHINERY') GROUP BY 1, 2, 3, 4, 5",
     "measures_detail": " SELECT segment, priority, CASE label WHEN 0 THEN 'Rejected' WHEN 1 THEN 'First product' WHEN 2 THEN 'Second product' ELSE 'Unknown' END AS response, round(avg(age), 6) AS mean_age, count(*) AS records FROM campaign GROUP BY 1, 2, 3",
 }.items()}

@@ -136,7 +136,7 @@ ORACLE_SQL = {
     "restored_logins": f"SELECT sha256(CAST(event_id AS VARCHAR)) AS token_hash, user_id % 200 AS owner_id, c_name AS username, CASE WHEN c_custkey % 9 = 0 THEN 'staff' ELSE 'customer' END AS account_role FROM events JOIN customer ON c_custkey = user_id % 200 WHERE event_id % 5 <> 0 AND ts + CASE WHEN event_id % 4 = 0 THEN INTERVAL 10 DAY ELSE INTERVAL 30 MINUTE END > TIMESTAMP '{NOW}'",
     "leads_of_sessions": "SELECT o_orderkey AS session_id, o_custkey AS owner_id, 'p' || (o_custkey % 3) AS product_id, CASE WHEN o_custkey % 6 = 0 THEN false WHEN o_custkey % 4 = 0 THEN true ELSE false END AS is_stale FROM orders WHERE o_custkey % 2 = 0",
     "text_faults": "SELECT o_orderkey AS text_id, CASE WHEN o_orderkey % 3 = 0 THEN 'unverified_private_use' ELSE 'verified' END AS quality, sha256(CASE WHEN o_orderkey % 3 = 0 THEN 'a' || chr(3637) || 'b' || chr(3660) || o_orderkey ELSE 'plain ' || o_orderkey END) AS repaired_hash, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) END AS day, CASE WHEN o_orderkey % 4 = 0 THEN 'open [redacted-url] now' ELSE 'PassWord: [redacted] end' END AS log FROM orders",
-    "purposeful_messages": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM (SELECT * FROM conversations WHERE (conv_id + turn) % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2)",
+    "purposeful_messages": "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS place FROM (SELECT * FROM conversations WHERE (conv_id + turn) % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2)",
     "copied_customers": "SELECT c_custkey, c_name, CAST(NULL AS INTEGER) AS extra FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'old', 1 FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0",
     "retried_queries": "WITH k AS (SELECT ['sufficient', 'weak', 'insufficient', 'ambiguous'] AS kinds) SELECT o_orderkey AS query_id, CASE WHEN o_orderkey % 4 = 1 AND o_orderkey % 3 <> 0 THEN kinds[o_orderkey % 5 % 4 + 1] ELSE kinds[o_orderkey % 4 + 1] END AS status FROM orders, k",
     "compared_modes": _COMPARED,
