@@ -44,18 +44,22 @@ def _one_of(held: DataFrame, columns: list[str], rule: list[str]) -> DataFrame:
 def with_owner_rule(performance: DataFrame, rules: DataFrame, owner: str = "owner_id") -> DataFrame:
     """The rule of each row's owner that is valid in its month, for any number of owners and rules; refused as in ``with_one_rule``.
 
-    An interval is cut at years, and rows meet the pieces of their own year and owner (an equal join); one without an end meets its
-    owner's rows by the owner alone. Then the bounds are checked. Rows without an owner have no rule and are refused.
+    The days on which an owner's rules begin and have ended stand between the owner's months in one order. A window counts the rules
+    that are open and sums their numbers: where one is open the sum is its number, by which it is joined. Owners are dealt by shuffles
+    and nothing is broadcast, however long the intervals. Rows without an owner have no rule and are refused.
     """
     rule = [c for c in rules.columns if c != owner]
-    whole = F.struct(*rule)
-    cut = rules.where("valid_to is not null and valid_to >= valid_from").select(owner, F.explode(F.sequence(F.year("valid_from"), F.year("valid_to"))).alias("year_"), whole.alias("rule_"))
-    closed = cut.groupBy(owner, "year_").agg(F.collect_list("rule_").alias("closed_"))  # the rules of an owner in a year
-    unended = rules.where("valid_to is null").groupBy(owner).agg(F.collect_list(whole).alias("open_"))
-    month, none = F.col("month_start"), F.array().cast(closed.schema["closed_"].dataType)
-    met = performance.withColumn("year_", F.year(month)).join(closed, [owner, "year_"], "left").join(unended, owner, "left")
-    found = F.filter(F.concat(F.coalesce("closed_", none), F.coalesce("open_", none)), lambda r: (r["valid_from"] <= month) & (r["valid_to"].isNull() | (month <= r["valid_to"])))
-    return _one_of(met.withColumn("rules_", found), performance.columns, rule)
+    number = F.row_number().over(W.partitionBy(owner).orderBy("valid_from", "valid_to")).cast("long")
+    held = rules.where(f"{owner} is not null and valid_from is not null and (valid_to is null or valid_to >= valid_from)").withColumn("number_", number)
+    none = F.lit(None).cast(performance.select(F.struct(*performance.columns)).schema[0].dataType)
+    opened, closed = (F.struct(day.alias("day_"), F.lit(sign).alias("sign_")) for day, sign in ((F.col("valid_from"), 1), (F.date_add("valid_to", 1), -1)))
+    days = held.select(owner, "number_", F.explode(F.array(opened, closed)).alias("d")).where("d.day_ is not null").select(owner, "d.day_", "d.sign_", "number_", none.alias("row_"))
+    months = performance.select(owner, F.col("month_start").alias("day_"), F.lit(0).alias("sign_"), F.lit(0).cast("long").alias("number_"), F.struct(*performance.columns).alias("row_"))
+    line = W.partitionBy(owner).orderBy("day_", F.col("sign_") == 0).rowsBetween(W.unboundedPreceding, 0)  # a day's changes go before its months
+    told = days.unionByName(months).withColumns({"open_": F.sum("sign_").over(line), "sum_": F.sum(F.col("sign_") * F.col("number_")).over(line)}).where("sign_ = 0")
+    asked = told.select(owner, F.when((F.col("open_") == 1) & F.col("day_").isNotNull(), F.col("sum_")).alias("number_"), "row_")
+    met = asked.join(held.select(owner, "number_", F.struct(*rule).alias("rule_")).hint("merge"), [owner, "number_"], "left")
+    return _one_of(met.select("row_.*", F.when(F.col("rule_").isNull(), F.array()).otherwise(F.array("rule_")).alias("rules_")), performance.columns, rule)
 
 
 def overlapping_rules(rules: DataFrame, owner: str | None = None) -> DataFrame:

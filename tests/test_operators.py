@@ -229,3 +229,13 @@ def test_terms_are_counted_without_overlap(spark):
     got = {r.chunk_id: (r.size, {h.term: h.f for h in r.hits}) for r in R.occurrences_of(spark.createDataFrame(texts, "chunk_id long, text string"), ["aa", "ab", "eee", "e"]).collect()}
     assert got == {1: (9, {"aa": 2, "ab": 1, "eee": 1, "e": 3}), 2: (0, {}), 3: (2, {})}
     assert R.occurrences_of(spark.createDataFrame(texts, "chunk_id long, text string"), []).count() == 3
+
+
+def test_rules_of_owners_are_not_broadcast(spark):
+    day = dt.date
+    rules = spark.createDataFrame([(1, "long", day(1, 1, 1), day(9990, 1, 1)), (2, "early", day(1900, 1, 1), None), (2, "within", day(1950, 1, 1), day(1959, 12, 31)), (3, "x", None, day(2000, 1, 1)), (3, "y", day(1990, 1, 1), None)], "owner_id int, rule_id string, valid_from date, valid_to date")
+    months = spark.createDataFrame([(1, day(2000, 1, 1)), (1, day(2000, 1, 1)), (2, day(1949, 12, 1)), (2, day(1960, 1, 1)), (3, day(1999, 1, 1))], "owner_id int, month_start date")
+    ruled = K.with_owner_rule(months, rules)
+    assert sorted(tuple(r) for r in ruled.collect()) == [(1, day(2000, 1, 1), "long", day(1, 1, 1), day(9990, 1, 1))] * 2 + [(2, day(1949, 12, 1), "early", day(1900, 1, 1), None), (2, day(1960, 1, 1), "early", day(1900, 1, 1), None), (3, day(1999, 1, 1), "y", day(1990, 1, 1), None)]
+    plan = ruled._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and "sequence(" not in plan
