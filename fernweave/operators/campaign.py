@@ -27,6 +27,14 @@ def is_accepted(label: Column) -> Column:
     return F.coalesce(label.isin(*ACCEPTED), F.lit(False))
 
 
+def rounded(number: Column, places: int) -> Column:
+    """A double rounded in double arithmetic, ties away from zero, as DuckDB does it.
+
+    ``F.round`` with places rounds the shortest decimal text of a double, which for some halves gives another cent.
+    """
+    return F.round(number * 10.0**places) / 10.0**places
+
+
 def known(value: Column) -> Column:
     """A group key; null is "Unknown"."""
     return F.coalesce(value, F.lit("Unknown"))

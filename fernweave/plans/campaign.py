@@ -34,7 +34,7 @@ MONEY = ["income", "inflow", "outflow", "net_flow"]
 def campaign(spark: SparkSession, folder: str) -> DataFrame:
     orders, customers = (read_table(spark, folder, n) for n in ("orders", "customer"))
     key = F.col("o_orderkey")
-    half = F.round(F.col("o_totalprice") / 2, 2)
+    half = C.rounded(F.col("o_totalprice") / 2, 2)
     return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
         key.alias("record_id"),
         F.when(key % 13 == 0, None).when(key % 17 == 0, 9).when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2).alias("label"),
@@ -43,7 +43,7 @@ def campaign(spark: SparkSession, folder: str) -> DataFrame:
         F.when(key % 19 == 0, None).when(key % 31 == 0, 0.0).otherwise(F.col("c_acctbal")).alias("income"),
         F.when(key % 37 != 0, 18 + F.col("o_custkey") % 60 + F.when(key % 2 == 0, 0.5).otherwise(0.0)).alias("age"),
         F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("inflow"), half.alias("outflow"),
-        F.when(key % 41 != 0, F.round(F.col("o_totalprice") - half, 2) + F.when(key % 43 == 0, 1).otherwise(0)).alias("net_flow"),
+        F.when(key % 41 != 0, C.rounded(F.col("o_totalprice") - half, 2) + F.when(key % 43 == 0, 1).otherwise(0)).alias("net_flow"),
     )
 
 

@@ -239,3 +239,11 @@ def test_rules_of_owners_are_not_broadcast(spark):
     assert sorted(tuple(r) for r in ruled.collect()) == [(1, day(2000, 1, 1), "long", day(1, 1, 1), day(9990, 1, 1))] * 2 + [(2, day(1949, 12, 1), "early", day(1900, 1, 1), None), (2, day(1960, 1, 1), "early", day(1900, 1, 1), None), (3, day(1999, 1, 1), "y", day(1990, 1, 1), None)]
     plan = ruled._jdf.queryExecution().toString()
     assert "Broadcast" not in plan and "sequence(" not in plan
+
+
+def test_doubles_are_rounded_as_in_sql(spark):
+    import duckdb
+
+    values = [1162.85 / 2, 1166.11 / 2, 1.005, 1.025, 0.285, 2.675, -1.005, -2.5, 0.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(C.rounded(F.col("v"), 2)).collect()]
+    assert got == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 2)", [v]).fetchone()[0] for v in values]
