@@ -62,17 +62,18 @@ def vectors(s: SparkSession, d: str, asked: str = "vec_id % 20 = 0") -> tuple[Da
     return own.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), own.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
 
 
-def rankings(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Two rankings for each benchmark text: the 15 nearest to the vector with its id, and all chunks by their terms."""
+def rankings(s: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """Two rankings for each benchmark text: the 15 nearest to the vector with its id, and of all chunks by their terms the first k and those 15."""
     items = read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"))
     asked, own = vectors(s, d, "true")
-    return R.semantic_top_k(asked.join(items, "query_id", "left_semi"), own, 15), R.bm25(asked_terms(s, d), chunks(s, d))
+    nearest = R.semantic_top_k(asked.join(items, "query_id", "left_semi"), own, 15)
+    return nearest, R.bm25(asked_terms(s, d), chunks(s, d), k=k, also=nearest)
 
 
 def gated(s: SparkSession, d: str) -> DataFrame:
     """Whether the ten best chunks of each benchmark text by both rankings bear it; their scores are the semantic ones, 0 for others."""
     asked = read_table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    semantic, lexical = rankings(s, d)
+    semantic, lexical = rankings(s, d, 10)
     found = R.fused(semantic, lexical, 10).select("query_id", "chunk_id").join(semantic.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"], "left").join(chunks(s, d), "chunk_id")
     return R.evidence_gate(asked, found.select("query_id", F.col("lang").alias("product_id"), F.lit("").alias("product_name"), "text", F.coalesce("score", F.lit(0.0)).alias("score")))
 
@@ -140,8 +141,8 @@ QUERIES = {
     "slugs": lambda s, d: read_table(s, d, "part").select("p_partkey", T.slug(F.col("p_type")).alias("slug")),
     "term_counts": lambda s, d: read_table(s, d, "documents").select("doc_id", T.occurrences(F.lower("text"), F.lit("er")).alias("n")),
     "semantic_top": lambda s, d: R.semantic_top_k(*vectors(s, d), 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "place"),
-    "lexical_top": lambda s, d: R.bm25(asked_terms(s, d), chunks(s, d)).where("place <= 10").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "place"),
-    "fused_top": lambda s, d: R.fused(*rankings(s, d), 5).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "place"),
+    "lexical_top": lambda s, d: R.bm25(asked_terms(s, d), chunks(s, d), k=10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "place"),
+    "fused_top": lambda s, d: R.fused(*rankings(s, d, 5), 5).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "place"),
     "alias_matches": lambda s, d: R.alias_matches(read_table(s, d, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_type").alias("text")), read_table(s, d, "part").select(F.col("p_brand").alias("product_id"), F.col("p_type").alias("alias")).distinct()),
     "evidence_gate": gated,
     "index_refresh": lambda s, d: R.refreshed_index(chunks(s, d).where("chunk_id % 3 <> 0").select("chunk_id", F.sha2("text", 256).alias("content_hash")), chunks(s, d).where("chunk_id % 5 <> 0").select("chunk_id", F.sha2(F.when(F.col("chunk_id") % 7 == 0, F.lower("text")).otherwise(F.col("text")), 256).alias("content_hash"))),

@@ -256,3 +256,18 @@ def test_alias_matches_neither_shuffle_nor_group_queries(spark):
     assert sorted(matched.collect(), key=str) == sorted([(1, "p"), (2, "p"), (2, "q"), (2, None)], key=str)
     plan = matched._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Aggregate(key=[query_id" not in plan and "Aggregate(keys=[query_id" not in plan
+
+
+def test_first_chunks_and_places_far_behind_are_those_of_the_whole_ranking(spark, monkeypatch):
+    monkeypatch.setattr(R, "CELLS", 4)
+    monkeypatch.setattr(R, "QUERY_BLOCK", 2)
+    texts = [(k, "ab" * (k % 7) + " cd" * (k % 3) + " xyz" * (k % 5)) for k in range(40)]
+    chunks = spark.createDataFrame([*texts, (40, None), (41, "none")], "chunk_id long, text string")
+    terms = spark.createDataFrame([("a", "ab"), ("a", "cd"), ("b", "xyz"), ("c", "cd"), ("c", "absent"), ("d", "absent")], "query_id string, term string")
+    whole = {(r.query_id, r.chunk_id): (r.score, r.place) for r in R.bm25(terms, chunks).collect()}
+    assert {q for q, _ in whole} == {"a", "b", "c"} and sorted(p for (q, _), (_, p) in whole.items() if q == "b") == list(range(1, 33))
+    ranked = sorted((k for q, k in whole if q == "a"), key=lambda k: (-round(whole["a", k][0], 9), k))
+    assert [whole["a", k][1] for k in ranked] == list(range(1, len(ranked) + 1))
+    far = spark.createDataFrame([("a", ranked[-1]), ("a", ranked[0]), ("b", 1), ("b", 40)], "query_id string, chunk_id long")
+    got = {(r.query_id, r.chunk_id): (r.score, r.place) for r in R.bm25(terms, chunks, k=3, also=far).collect()}
+    assert got == {key: v for key, v in whole.items() if v[1] <= 3 or key in {("a", ranked[-1]), ("b", 1)}}
