@@ -7,7 +7,6 @@ what differs (unit and subject), so that an answer that repeats one number a tho
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fernweave.functions.text import has_any, plain_evidence, query_terms
@@ -41,15 +40,23 @@ def figures(texts: DataFrame) -> DataFrame:
     """(answer_id, k, number, unit, said, before, after) of the figures in texts (answer_id, text), each id once.
 
     before, after: up to 32 letters. A text is split at its figures, and the letters around one are gathered from the pieces beside it: a
-    figure has a letter at least, so 33 pieces hold them all. unit is empty where none follows; number has no commas.
+    figure has a letter at least, so 33 pieces hold them all. All of that is done within the row. unit is empty where none follows;
+    number has no commas.
     """
-    said = F.regexp_extract_all("text", F.lit(FIGURE), F.lit(0))
-    pieces = texts.where("text is not null").select("answer_id", F.posexplode(F.arrays_zip(F.split("text", FIGURE, -1).alias("gap"), said.alias("said"))).alias("k", "p"))
-    own = pieces.select("answer_id", "k", F.right("p.gap", F.lit(_AROUND)).alias("tail"), F.left("p.gap", F.lit(_AROUND)).alias("head"), F.col("p.said").alias("said"))
-    line = W.partitionBy("answer_id").orderBy("k")
-    earlier = F.array_join(F.collect_list(F.concat("tail", F.coalesce("said", F.lit("")))).over(line.rowsBetween(-_AROUND, -1)), "")
-    later = F.array_join(F.collect_list(F.concat("head", F.coalesce("said", F.lit("")))).over(line.rowsBetween(1, _AROUND + 1)), "")
-    around = own.withColumns({"before": F.right(F.concat(earlier, "tail"), F.lit(_AROUND)), "after": F.left(later, F.lit(_AROUND))}).where("said is not null")
+    said = F.regexp_extract_all("text", F.lit(FIGURE), F.lit(0)).alias("said")
+    split = texts.where("text is not null").select("answer_id", said, F.split("text", FIGURE, -1).alias("gap")).where(F.size("said") > 0)
+    pieces = F.transform(F.arrays_zip("gap", "said"), lambda p: F.struct(F.concat(F.right(p["gap"], F.lit(_AROUND)), F.coalesce(p["said"], F.lit(""))).alias("earlier"), F.concat(F.left(p["gap"], F.lit(_AROUND)), F.coalesce(p["said"], F.lit(""))).alias("later")))
+    own = split.select("answer_id", "said", "gap", pieces.alias("pieces"))
+
+    def letters(start: Column, n: Column, side: str) -> Column:
+        return F.array_join(F.transform(F.slice("pieces", start, n), lambda p: p[side]), "")
+
+    def figure(text: Column, k: Column) -> Column:
+        before = F.concat(letters(F.greatest(k - _AROUND + 1, F.lit(1)), F.least(k, F.lit(_AROUND)), "earlier"), F.right(F.get("gap", k), F.lit(_AROUND)))
+        after = letters(k + 2, F.lit(_AROUND + 1), "later")
+        return F.struct(k.alias("k"), text.alias("said"), F.right(before, F.lit(_AROUND)).alias("before"), F.left(after, F.lit(_AROUND)).alias("after"))
+
+    around = own.select("answer_id", F.explode(F.transform("said", figure)).alias("f")).select("answer_id", "f.*")
     number, unit = F.regexp_extract("said", FIGURE, 1), F.regexp_extract("said", FIGURE, 2)
     return around.select("answer_id", "k", F.replace(number, F.lit(",")).alias("number"), unit.alias("unit"), number.alias("written"), "said", "before", "after")
 
@@ -80,7 +87,7 @@ def unsupported_figures(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     An end of a range stands if the whole range is in the evidence. An amount about payment stands if it is there at all and a label of
     payment is; another figure with a unit stands by a label of its subject, unless it is told to be about something else.
     """
-    claims = _claims(answers)
+    claims = _claims(answers).repartition("answer_id")  # worked out once, used three times
     about_it = figures(evidence).select("answer_id", "number", F.col("unit").alias("unit_e"), subject(F.right("before", F.lit(BEFORE_EVIDENCE))).alias("near")).distinct()
     low = F.lower("text")
     labels = evidence.select("answer_id", F.regexp_replace("text", r"(?U)\s+", "").alias("squeezed"), has_any(low, MONEY_LABELS).alias("money"), has_any(low, PAYMENT_LABELS).alias("payment"), has_any(low, COVERAGE_LABELS).alias("coverage"))

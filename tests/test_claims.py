@@ -62,3 +62,18 @@ def test_empty_sides(spark, empty):
     answers = spark.createDataFrame([] if empty == "answers" else [(1, "ชำระ 5 ปี")], "answer_id long, text string")
     cited = spark.createDataFrame([] if empty == "cited" else [(1, "c", "x")], "answer_id long, chunk_id string, text string")
     assert [r.claim for r in C.claim_errors(answers, cited).collect()] == ([] if empty == "answers" else ["5ปี"])
+
+
+def test_letters_around_figures_are_gathered_within_the_row(spark):
+    text = "1 " * 40 + "a" * 50 + " 7 บาท" + " 8" * 40
+    found = C.figures(spark.createDataFrame([(1, text), (None, "x 5 y"), (None, "z 6"), (2, None), (3, "no")], "answer_id int, text string"))
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.collect()
+    own = sorted((r for r in rows if r.answer_id == 1), key=lambda r: r.k)
+    assert len(own) == 81
+    at = 0
+    for r in own:
+        at = text.index(r.said, at)
+        assert (r.before, r.after) == (text[max(0, at - 32) : at], text[at + len(r.said) :][:32])
+        at += len(r.said)
+    assert sorted((r.before, r.number, r.after) for r in rows if r.answer_id is None) == [("x ", "5", "y"), ("z ", "6", "")]
