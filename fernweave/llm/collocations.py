@@ -5,7 +5,9 @@ A phrase can be frequent only if each of its parts is (Apriori), so candidates a
 1. words are counted;
 2. phrases of frequent words are counted in hashed buckets, whose number follows the number of words; a bucket's count
    stops at the least frequency, so tasks send few bytes and sums stay right up to it;
-3. phrases whose own bucket and whose parts' buckets are full enough are the candidates: every frequent phrase is one;
+3. phrases whose own bucket and whose parts' buckets are full enough are the candidates: every frequent phrase is one.
+   A share of the texts is gone through first; of the rest, tasks hand on only what was not found there, so that a common
+   phrase does not leave every task anew;
 4. candidates and frequent words get a minimal perfect hash, and tasks count them by slot in numpy arrays, each key being
    compared with the stored one; arrays are summed by blocks of slots, in a tree, and the counts of a phrase and of both
    parts of each cut are read by slot.
@@ -41,6 +43,8 @@ BLOCK = 1 << 16
 FAN = 64
 #: Words, phrases or slots that a task holds before it hands them on.
 HELD = 1 << 18
+#: One text in so many is gone through first for candidates.
+SHARE = 16
 
 
 @lru_cache(maxsize=4)
@@ -332,12 +336,14 @@ def _possible(words: Words, usable: Bits, full: dict[int, Bits]) -> Iterator[tup
         yield k, at, prints
 
 
-def candidates(texts: DataFrame, seed: int, filters: Broadcast, longest: int) -> DataFrame:
-    """The distinct phrases of 2 words and more that could be frequent, as columns w1, w2, ... of word identities."""
+def handed_on(texts: DataFrame, seed: int, filters: Broadcast, longest: int, known: Broadcast | None = None) -> DataFrame:
+    """Phrases of 2 words and more that could be frequent and are not in the slice ``known``, as columns w1, w2, ... of word
+    identities: once for about 2 * HELD that a task finds."""
     names = [f"w{j + 1}" for j in range(longest)]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         usable, full = filters.value
+        had: Slice | None = known.value if known else None
         held: list[tuple[np.ndarray, list[np.ndarray]]] = []
         size = 0
 
@@ -352,17 +358,43 @@ def candidates(texts: DataFrame, seed: int, filters: Broadcast, longest: int) ->
             for k, at, prints in _possible(words, usable, full):
                 if k > 1:
                     prints, first = np.unique(prints, return_index=True)
-                    at = at[first]
-                    held.append((prints, [words.ids[at + j] if j < k else np.zeros(len(at), np.uint64) for j in range(longest)]))
-                    size += len(at)
+                    columns = [words.ids[at[first] + j] if j < k else np.zeros(len(first), np.uint64) for j in range(longest)]
+                    if had:
+                        new = np.flatnonzero(had.slots(columns) < 0)
+                        prints, columns = prints[new], [c[new] for c in columns]
+                    held.append((prints, columns))
+                    size += len(prints)
             if size > 2 * HELD:
                 yield flush()
                 size = 0
         if held:
             yield flush()
 
-    found = texts.mapInArrow(lean(find), ", ".join(f"{c} long" for c in names))
-    return found.groupBy(*names).agg(F.lit(0).alias("_")).drop("_")
+    return texts.mapInArrow(lean(find), ", ".join(f"{c} long" for c in names))
+
+
+def candidates(texts: DataFrame, seed: int, filters: Broadcast, longest: int, most_known: int) -> DataFrame:
+    """The distinct phrases of 2 words and more that could be frequent.
+
+    Those of one text in SHARE come first. They are broadcast, ``most_known`` at most, those that left the most tasks before
+    others; the other texts add what is not among them. So a phrase leaves tasks about as often as it takes to meet it in the
+    share, however frequent it is, and not once for each task.
+    """
+    spark, names = texts.sparkSession, [f"w{j + 1}" for j in range(longest)]
+    early = F.coalesce(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == 0, F.lit(True))
+    first = materialise(handed_on(texts.where(early), seed, filters, longest).groupBy(*names).agg(F.count(F.lit(1)).alias("times")), "collocation-share")
+    known = first.select(*names) if first.count() <= most_known else first.orderBy(F.desc("times")).limit(most_known).select(*names)
+    slice_ = spark.sparkContext.broadcast(Slice(_columns(known)))
+    _hand_back()
+    rest = handed_on(texts.where(~early), seed, filters, longest, slice_)
+    found = materialise(first.select(*names).unionByName(rest).groupBy(*names).agg(F.lit(0).alias("_")).drop("_"), "collocation-candidates")
+    slice_.destroy()
+    return found
+
+
+def _columns(keys: DataFrame) -> list[np.ndarray]:
+    rows = keys.toArrow()
+    return [column.to_numpy().view(np.uint64) for column in rows.columns]
 
 
 class Slice:
@@ -520,9 +552,7 @@ def _slices(spark: SparkSession, keys: DataFrame, longest: int, most_keys: int)
     names = [f"w{j + 1}" for j in range(longest)]
     count = -(-keys.count() // most_keys) or 1
     for k in range(count):
-        rows = (keys.where(F.pmod(F.xxhash64(*names), F.lit(count)) == k) if count > 1 else keys).toArrow()
-        columns = [rows.column(j).to_numpy().view(np.uint64) for j in range(longest)]
-        del rows
+        columns = _columns(keys.where(F.pmod(F.xxhash64(*names), F.lit(count)) == k) if count > 1 else keys)
         _hand_back()
         yield spark.sparkContext.broadcast(Slice(columns))
 
@@ -548,7 +578,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     usable.destroy()
     names = [f"w{j + 1}" for j in range(longest)]
     none = F.lit(0).cast("long")
-    phrases = materialise(candidates(texts, seed, filters, longest), "collocation-candidates")
+    phrases = candidates(texts, seed, filters, longest, most_keys // 2)
     keys = phrases.unionByName(frequent.select(F.col("id").alias("w1"), *(none.alias(c) for c in names[1:])))
     counted = phrases.withColumn("found", F.array_repeat(none, len(_parts_of(longest))))
     for k, slice_ in enumerate(_slices(spark, keys, longest, most_keys)):

@@ -66,6 +66,29 @@ def test_long_texts_are_cut_at_the_ends_of_pieces(spark):
     assert sorted(map(tuple, got.collect())) == brute(rows, 3, 10, 50, 2000)
 
 
+def test_common_phrases_do_not_leave_every_task(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    rows = [("en", " ".join(rng.choice(words) for _ in range(150)) + f" x{i}") for i in range(80)]
+    texts = spark.createDataFrame(rows, "lang string, text string").select("text", "lang").repartition(80, "text")
+    counted, seed = collocations.identified_words(texts)
+    usable = collocations.word_bits(counted.where("n >= 4"), 20)
+    context = spark.sparkContext
+    full = collocations.full_buckets(texts, seed, context.broadcast(usable), 2, 4, 20)
+    filters, sent, apart = context.broadcast((usable, full)), [], collocations.handed_on
+
+    def noted(*given):
+        sent.append(apart(*given).count())
+        return apart(*given)
+
+    monkeypatch.setattr(collocations, "handed_on", noted)
+    found = collocations.candidates(texts, seed, filters, 2, 1 << 20).collect()
+    every = apart(texts, seed, filters, 2)
+    assert sorted(found) == sorted(every.distinct().collect())
+    assert sum(sent) < every.count() / 3  # once for each task that has them
+    assert sorted(collocations.candidates(texts, seed, filters, 2, 50).collect()) == sorted(found)  # a share that is not broadcast whole
+
+
 def test_perfect_hash_is_minimal_and_strangers_are_told():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 63, 5000):
