@@ -271,3 +271,15 @@ def test_first_chunks_and_places_far_behind_are_those_of_the_whole_ranking(spark
     far = spark.createDataFrame([("a", ranked[-1]), ("a", ranked[0]), ("b", 1), ("b", 40)], "query_id string, chunk_id long")
     got = {(r.query_id, r.chunk_id): (r.score, r.place) for r in R.bm25(terms, chunks, k=3, also=far).collect()}
     assert got == {key: v for key, v in whole.items() if v[1] <= 3 or key in {("a", ranked[-1]), ("b", 1)}}
+
+
+def test_turns_of_a_small_file_are_read_by_many_tasks(spark):
+    turns = spark.createDataFrame([(k, 0, f"name: Client {k}", None) for k in range(200)], "owner_id long, turn int, text string, product_id string").coalesce(1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few here
+    try:
+        tasks = L.extracted(turns).select("name", F.spark_partition_id().alias("task")).where("name is not null").select("task").distinct().count()
+        plan = L.drafts(turns)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks > 1
+    assert plan.count("Exchange") == 1  # the windows need no further one
