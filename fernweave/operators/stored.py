@@ -33,8 +33,8 @@ def read_stored(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def _replace(path: str, rows: DataFrame) -> None:
-    """Put rows in the place of the buckets that they are of."""
-    rows.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    """Put rows in the place of the buckets that they are of; a large bucket is written by several tasks."""
+    rows.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
 
 
 def _drop(spark: SparkSession, path: str, buckets: list[int]) -> None:
@@ -44,15 +44,17 @@ def _drop(spark: SparkSession, path: str, buckets: list[int]) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def merge_stored(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], buckets: int = 64, change: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> list[int]:
+def merge_stored(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], buckets: int = 64, change: Callable[[DataFrame, DataFrame], DataFrame] | None = None, touched: list[int] | None = None) -> list[int]:
     """Change a stored table by ``incoming`` and return the buckets that were written; by default rows replace those with their keys.
 
     keys: what the buckets are by (change may work on finer keys). change(current, incoming) gives the next rows of the touched
     buckets, and has to give the same rows for the same incoming rows once more; a bucket that it gives no row for stays as
-    it is. The first merge makes the table.
+    it is. The first merge makes the table. touched: the buckets of ``incoming``, where they are known, so that its rows are not
+    made once more to find them.
     """
     came = incoming.withColumn(BUCKET, bucket_of(keys, buckets))
-    touched = sorted(r[0] for r in came.select(BUCKET).distinct().collect())  # ``buckets`` numbers at most
+    if touched is None:
+        touched = sorted(r[0] for r in came.select(BUCKET).distinct().collect())  # ``buckets`` numbers at most
     if not touched:
         return []
     stored = read_stored(spark, path)

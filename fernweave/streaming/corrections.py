@@ -60,11 +60,11 @@ def correct(spark: SparkSession, folder: str, batch: DataFrame, batch_id: int, a
         judged = K.with_streaks(K.judged(ruled, K.is_pending(F.lit(closed_through).cast("date") if closed_through else None)))
         evaluations = judged.select(*MONTH, *JUDGED)
         first = evaluations.withColumns({"revision": F.lit(1).cast("long"), "is_current": F.lit(True)})
-        merge_stored(spark, f"{folder}/evaluations", first, place, buckets, lambda now, new: next_revisions(now, new.drop("revision", "is_current"), MONTH, JUDGED))
+        merge_stored(spark, f"{folder}/evaluations", first, place, buckets, lambda now, new: next_revisions(now, new.drop("revision", "is_current"), MONTH, JUDGED), written)
         events = K.contract_events(judged).select(*EVENT, "from_type")
         # agents whose last event fell away have no derived row, so their buckets are touched by name
         named = touched.select("agent_id", F.lit(None).cast("date").alias("effective_from"), F.lit(None).cast("string").alias("to_type"), F.lit(None).cast("string").alias("from_type"))
-        merge_stored(spark, f"{folder}/events", events.unionByName(named).withColumn("superseded", F.lit(False)), place, buckets, lambda now, new: reconciled_events(now, new.where("to_type is not null"), touched))
+        merge_stored(spark, f"{folder}/events", events.unionByName(named).withColumn("superseded", F.lit(False)), place, buckets, lambda now, new: reconciled_events(now, new.where("to_type is not null"), touched), written)
     finally:
         came.unpersist()
     spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id")).write.mode("append").parquet(done)

@@ -123,3 +123,11 @@ def test_corrections_as_a_stream_with_a_restart(spark, tmp_path, first):
     assert [r[:5] for r in mine[1] if r[6]] == [r[:5] for r in other[1] if r[6]]
     batch = kpi.with_streaks(kpi.judged(kpi.with_one_rule(stored.read_stored(spark, f"{one}/performance").drop("bucket").join(agents(spark), "agent_id"), rules(spark)), kpi.is_pending()))
     assert [r[:5] for r in mine[1] if r[6]] == sorted(map(tuple, batch.select("agent_id", "month_start", "result", "pass_streak", "fail_streak").collect()), key=str)
+
+
+def test_judged_months_are_not_made_once_more_to_find_their_buckets(spark, tmp_path, first, monkeypatch):
+    known, merge = [], corrections.merge_stored
+    monkeypatch.setattr(corrections, "merge_stored", lambda *given: known.append(given[6] if len(given) > 6 else None) or merge(*given))
+    corrections.correct(spark, f"file://{tmp_path}", spark.createDataFrame(first, MONTHS), 0, agents(spark), rules(spark), buckets=8)
+    own = {r[0] for r in stored.read_stored(spark, f"file://{tmp_path}/performance").select("bucket").collect()}
+    assert known == [None, sorted(own), sorted(own)]
