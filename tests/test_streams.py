@@ -69,3 +69,30 @@ def test_the_count_outlasts_the_lock():
         outcome, *state = locks.judge(ok, at, *state, 5, 60_000_000)
         told.append(outcome)
     assert told == ["failed"] * 3 + ["ok", "failed", "ok"] + ["failed"] * 4 + ["locked", "rejected", "locked", "rejected", "ok"]
+
+
+def test_attempts_of_a_share_that_came_together_are_one_row_of_state(session, tmp_path):
+    folder, users = f"file://{tmp_path}", 20
+    rows = [(i, i % users, DAY + datetime.timedelta(seconds=i), "signup" if i % 7 == 0 else "error") for i in range(4000)]
+    write(session, rows, folder, 0)
+    query = locks.locked_stream(runs.file_stream(session, f"{folder}/in/*", EVENTS)).writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/rows")
+    query.awaitTermination()
+    written = [p.stateOperators[0].numRowsUpdated for p in query.recentProgress]
+    assert written and max(written) <= 2 * users  # what waits of a share and the accounts of its users, not the attempts
+    assert sorted(map(tuple, session.read.parquet(f"{folder}/rows").collect())) == expected(session, rows, rows[-1][2])
+
+
+def test_users_of_one_share_are_judged_apart(session, tmp_path):
+    folder, rows = f"file://{tmp_path}", attempts(seed=9)
+    for k, (a, b) in enumerate(((0, 150), (150, 240))):
+        write(session, rows[a:b], folder, k)
+        got = runs.run_now(locks.locked_stream(runs.file_stream(session, f"{folder}/in/*", EVENTS, files_each=1), shares=1), folder)
+    assert sorted(map(tuple, got.collect())) == expected(session, rows, max(r[2] for r in rows if r[3] in ("error", "signup")))
+
+
+def test_attempts_without_an_id_come_last_of_their_time(session, tmp_path):
+    folder, far = f"file://{tmp_path}", 2**60 + 1
+    rows = [(None, 1, DAY, "signup"), (far, 1, DAY, "error"), (None, 2, DAY, "error"), (7, 1, DAY + datetime.timedelta(hours=1), "view"), (8, 3, DAY + datetime.timedelta(hours=1), "error")]
+    write(session, rows, folder, 0)
+    got = runs.run_now(locks.locked_stream(runs.file_stream(session, f"{folder}/in/*", EVENTS)), folder)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, far, "failed"), (1, None, "ok"), (2, None, "failed")]))
