@@ -52,7 +52,8 @@ class LoginLock(StatefulProcessor):
                 came[name] = batch[name]
             self._waiting.appendValue((came.tobytes(),))
             earliest.append(came["at"].min())
-        self._wake(min(earliest))
+        if earliest:
+            self._wake(min(earliest))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
