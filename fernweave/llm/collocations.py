@@ -1,8 +1,18 @@
 """Phrases whose words stand together more often than chance, for each language, from exact counts over all texts.
 
-A phrase can be frequent only if each of its parts is (Apriori), so candidates are found in passes over the texts:
+A phrase can be frequent only if each of its parts is (Apriori), and it takes two passes over the texts, whatever their size:
+
+1. words are counted; the frequent ones get a minimal perfect hash, whose slots are their numbers;
+2. tasks send the phrases of frequent words, as numbers side by side in 64-bit keys with how often they had them, each to
+   the task that its hash names. That task counts them in hashed buckets; the phrases of full buckets are the candidates,
+   and every frequent phrase is one. They get a minimal perfect hash, and are counted by slot in a numpy array, each key
+   being compared with the stored one. The number of such tasks follows the number of words.
+
+The counts of a phrase's parts of several words are found by joins with the counted phrases, those of words by their number.
+
+A broadcast holds 4 * ``most_keys`` words at most. With more frequent words than that, phrases are counted over as many
+passes as it takes, in broadcasts that don't grow:
 
-1. words are counted;
 2. phrases of frequent words are counted in hashed buckets, whose number follows the number of words; a bucket's count
    stops at the least frequency, so tasks send few bytes and sums stay right up to it;
 3. phrases whose own bucket and whose parts' buckets are full enough are the candidates: every frequent phrase is one.
@@ -12,7 +22,7 @@ A phrase can be frequent only if each of its parts is (Apriori), so candidates a
    compared with the stored one; arrays are summed by blocks of slots, in a tree, and the counts of a phrase and of both
    parts of each cut are read by slot.
 
-A broadcast holds ``most_keys`` keys at most. More candidates are cut by hash into several such slices, which are counted
+A slice holds ``most_keys`` keys at most. More candidates are cut by hash into several such slices, which are counted
 one after another; nothing is dropped. Buckets take 2^``most_bits`` bits at most; with more words they only let more
 candidates through.
 """
@@ -89,13 +99,16 @@ class Words:
         self.ids = np.maximum(mix(hashes ^ salts[self.text]), _U(1))
         self._ends = ends
 
-    def word(self, at: int) -> str:
-        start = int(self.starts[at])
-        stop = start
-        ends, raw = self._ends, self.bytes
-        while not ends[raw[stop]]:
-            stop += 1
-        return raw[start:stop].translate(_LOWER).decode("utf-8", "replace")
+    def at(self, places: np.ndarray) -> pa.Array:
+        """The words at some distinct places, in lower case, as bytes."""
+        order = np.argsort(places)
+        starts = self.starts[places[order]]
+        stops = np.flatnonzero(self._ends[np.frombuffer(self.bytes, np.uint8)])
+        bounds = np.stack([starts, stops[np.searchsorted(stops, starts)]], axis=1).astype(np.int32).ravel()  # each word, then what is before the next
+        spans = pa.Array.from_buffers(pa.binary(), max(0, len(bounds) - 1), [None, pa.py_buffer(bounds), pa.py_buffer(self.bytes.translate(_LOWER))])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return spans.take(pa.array(2 * rank))
 
     def starts_of(self, length: int, usable: np.ndarray) -> np.ndarray:
         """Where phrases of a length start that stay in one piece and hold usable words only."""
@@ -145,31 +158,47 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64), pa.int64())
 
 
+def _strings(words: pa.Array) -> pa.Array:
+    try:
+        return words.cast(pa.string())
+    except pa.ArrowInvalid:  # bytes that are no text
+        return pa.array([w.decode("utf-8", "replace") for w in words.to_pylist()], pa.string())
+
+
 def count_words(texts: DataFrame, seed: int) -> DataFrame:
     """(id, lang, word, n): how often each language has each word."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[int, tuple[str, str]] = {}
-        totals: dict[int, int] = {}
+    names = ["id", "lang", "word", "n"]
 
-        def flush() -> pa.RecordBatch:
-            ids = np.fromiter(totals, np.uint64, len(totals))
-            out = pa.RecordBatch.from_arrays([_signed(ids), pa.array([names[i][0] for i in totals], pa.string()), pa.array([names[i][1] for i in totals], pa.string()), pa.array(list(totals.values()), pa.int64())], names=["id", "lang", "word", "n"])
-            names.clear()
-            totals.clear()
-            return out
+    def met(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        _, first, of = np.unique(rows["id"].to_numpy(), return_index=True, return_inverse=True)
+        total = np.zeros(len(first), np.int64)
+        np.add.at(total, of, rows["n"].to_numpy())
+        (out,) = rows.take(pa.array(first)).combine_chunks().to_batches(max_chunksize=len(first))
+        return out.set_column(3, "n", pa.array(total))
+
+    def told(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for start in range(0, rows.num_rows, HELD // 4):
+            some = rows.slice(start, HELD // 4)
+            yield some.set_column(2, "word", _strings(some.column(2)))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
         for words in _words(batches, seed):
             found, first, times = np.unique(words.ids, return_index=True, return_counts=True)
-            for i, at, n in zip(found.tolist(), first.tolist(), times.tolist(), strict=True):
-                if i in totals:
-                    totals[i] += n
-                else:
-                    totals[i] = n
-                    names[i] = words.langs[words.text[at]], words.word(at)
-            if len(totals) > HELD // 2:
-                yield flush()
-        yield flush()
+            langs = pa.array(words.langs, pa.string()).take(pa.array(words.text[first]))
+            held.append(pa.RecordBatch.from_arrays([_signed(found), langs, words.at(first), pa.array(times.astype(np.int64))], names=names))
+            size += len(found)
+            if size > 4 * HELD:
+                held = [met(held)]
+                size = held[0].num_rows
+                if size > 2 * HELD:
+                    yield from told(held[0])
+                    held, size = [], 0
+        if size:
+            yield from told(met(held))
 
     counted = texts.mapInArrow(lean(count), "id long, lang string, word string, n long")
     return counted.repartition("id").groupBy("id", "lang", "word").agg(F.sum("n").alias("n"))
@@ -424,6 +453,169 @@ class Slice:
         return np.where(same, slots, -1)
 
 
+class Vocabulary:
+    """The frequent words: numbers from 1 by identity, identities and counts by number, and phrases of them in columns of 64 bits."""
+
+    def __init__(self, ids: np.ndarray, times: np.ndarray, longest: int):
+        self.words = Slice([ids])
+        self.times = np.zeros(len(ids), np.int64)
+        self.times[self.words.slots([ids])] = times
+        self.longest, self.bits = longest, max(1, len(ids).bit_length())
+        self.each = min(longest, 64 // self.bits)  # words in a column
+        self.columns = -(-longest // self.each)
+
+    def numbers(self, ids: np.ndarray) -> np.ndarray:
+        """0 for words that are not frequent."""
+        return (self.words.slots([ids]) + 1).view(np.uint64)
+
+    def packed(self, numbers: list[np.ndarray]) -> list[np.ndarray]:
+        """Phrases of some length, by the numbers of their words; there are zeros behind the last."""
+        out = [np.zeros(len(numbers[0]), np.uint64) for _ in range(self.columns)]
+        for j, n in enumerate(numbers):
+            out[j // self.each] |= n << _U(self.bits * (j % self.each))
+        return out
+
+    def unpacked(self, columns: list[np.ndarray]) -> list[np.ndarray]:
+        mask = _U((1 << self.bits) - 1)
+        return [((columns[j // self.each] >> _U(self.bits * (j % self.each))) & mask).astype(np.int64) for j in range(self.longest)]
+
+
+def _distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of some columns, and how many there are of each."""
+    if len(columns) == 1:
+        found, times = np.unique(columns[0], return_counts=True)
+        return [found], times
+    order = np.lexsort(columns)
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    first = np.flatnonzero(new)
+    return [c[first] for c in columns], np.diff(np.append(first, len(order)))
+
+
+_DEALT = "part int, keys binary, counts binary"
+
+
+def dealt_phrases(texts: DataFrame, seed: int, vocabulary: Broadcast, parts: int) -> DataFrame:
+    """All phrases of 2 words and more that consist of frequent words, as rows (part, keys, counts): a row has those of one part
+    among about 8 * HELD that a task goes through, each once, and how often it had them."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Vocabulary = vocabulary.value
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            columns, times = _distinct([np.concatenate(c) for c in zip(*held, strict=True)])
+            held.clear()
+            part = _part(prints_of(columns), parts)
+            order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+            columns, times = [c[order] for c in columns], times[order]
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+            rows = []
+            for k in np.flatnonzero(np.diff(bounds)).tolist():
+                a, b = bounds[k], bounds[k + 1]
+                rows.append((k, b"".join(c[a:b].tobytes() for c in columns), times[a:b].astype(np.min_scalar_type(times[a:b].max())).tobytes()))
+                if len(rows) == 64 or b == len(times):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "keys", "counts"])
+                    rows = []
+
+        for words in _words(batches, seed):
+            numbers = own.numbers(words.ids)
+            for k in range(2, own.longest + 1):
+                at = words.starts_of(k, numbers > 0)
+                held.append(own.packed([numbers[at + j] for j in range(k)]))
+                size += len(at)
+            if size > 8 * HELD:
+                yield from flush()
+                size = 0
+        if size:
+            yield from flush()
+
+    return texts.mapInArrow(lean(find), _DEALT)
+
+
+def _part(prints: np.ndarray, parts: int) -> np.ndarray:
+    """By the high half of a fingerprint."""
+    return (((prints >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
+
+
+def counted_phrases(dealt: DataFrame, vocabulary: Broadcast, parts: int, longest: int, least: int) -> DataFrame:
+    """(w1, w2, ..., a, first, last): the frequent phrases by their words' identities, their counts, and those of their first
+    and last word. Each part is counted by one task: in buckets, then its candidates by slot."""
+    names = [*(f"w{j + 1}" for j in range(longest)), "a", "first", "last"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Vocabulary = vocabulary.value
+        held: list[np.ndarray] = []
+        held_times: list[np.ndarray] = []
+        for batch in batches:
+            for keys, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                held.append(np.frombuffer(keys, np.uint64).reshape(own.columns, -1))
+                held_times.append(np.frombuffer(counts, f"<u{len(counts) // held[-1].shape[1]}").astype(np.int64))
+        if not held:
+            return
+        columns, times = list(np.concatenate(held, axis=1)), np.concatenate(held_times)
+        held.clear()
+        held_times.clear()
+        bucket = (prints_of(columns) & _U((1 << max(16, len(times).bit_length())) - 1)).view(np.int64)
+        keep = (_slot_sums(bucket, times) >= least)[bucket]
+        columns, times = [c[keep] for c in columns], times[keep]
+        candidates = Slice(_distinct(columns)[0])
+        slots = candidates.slots(columns)
+        total = _slot_sums(slots, times)
+        often = np.flatnonzero(total >= least)
+        numbers = own.unpacked([c[often] for c in candidates.columns])
+        ids = np.concatenate([np.zeros(1, np.uint64), own.words.columns[0]])
+        last = numbers[-1].copy()
+        for n in numbers[-2::-1]:
+            last = np.where(last == 0, n, last)
+        out = [*(_signed(ids[n]) for n in numbers), *(pa.array(t) for t in (total[often], own.times[numbers[0] - 1], own.times[last - 1]))]
+        for start in range(0, len(often), HELD // 4):
+            yield pa.RecordBatch.from_arrays([c.slice(start, HELD // 4) for c in out], names=names)
+
+    return dealt.repartitionById(parts, "part").mapInArrow(lean(count), ", ".join(f"{c} long" for c in names))
+
+
+def _slot_sums(slots: np.ndarray, times: np.ndarray) -> np.ndarray:
+    total = np.zeros(int(slots.max(initial=-1)) + 1, np.int64)
+    np.add.at(total, slots, times)
+    return total
+
+
+def _with_parts(phrases: DataFrame, longest: int) -> DataFrame:
+    """Counted phrases with the column ``found``: of parts of several words by joins, which need those that have three words
+    and more; every part of a frequent phrase is a frequent phrase or word itself."""
+    names = [f"w{j + 1}" for j in range(longest)]
+    parts = _parts_of(longest)
+    none = F.lit(0).cast("long")
+    known = phrases.select(*(F.col(c).alias(f"p{j + 1}") for j, c in enumerate(names)), F.col("a").alias("f"))
+    joined = [k for k, (first, length) in enumerate(parts) if 1 < length < longest]
+
+    def found(rows: DataFrame) -> DataFrame:
+        columns = []
+        for k, (first, length) in enumerate(parts):
+            if first == 0 and length == 1:
+                columns.append(F.col("first"))
+            elif first == 0:
+                it = F.col("a") if length == longest else F.when(F.col(names[length]) == 0, F.col("a"))
+                columns.append(F.coalesce(it, F.col(f"f{k}") if k in joined and f"f{k}" in rows.columns else none))
+            else:
+                single = F.col(names[first + 1]) == 0 if first + 1 < longest else F.lit(True)
+                there = F.coalesce(F.col(f"f{k}"), none) if f"f{k}" in rows.columns else none
+                columns.append(F.when(single & (F.col(names[first]) != 0), F.col("last")).otherwise(there))
+        return rows.select(*names, F.array(*columns).alias("found"))
+
+    if longest == 2:
+        return found(phrases)
+    longer = phrases.where("w3 <> 0")
+    for k in joined:
+        first, length = parts[k]
+        same = [F.col(f"p{j + 1}") == (F.col(names[first + j]) if j < length else none) for j in range(longest)]
+        longer = longer.join(known.withColumnRenamed("f", f"f{k}"), same, "left").drop(*(f"p{j + 1}" for j in range(longest)))
+    return found(phrases.where("w3 = 0")).unionByName(found(longer))
+
+
 def count_by_slot(texts: DataFrame, seed: int, filters: Broadcast, keys: Broadcast, longest: int) -> np.ndarray:
     """How often each key of a slice occurs: tasks count by slot, the arrays are summed in a tree by blocks."""
 
@@ -557,23 +749,23 @@ def _slices(spark: SparkSession, keys: DataFrame, longest: int, most_keys: int)
         yield spark.sparkContext.broadcast(Slice(columns))
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *, longest: int = 3, least: int = 10, inside: int = 50, top: int = 2000, most_keys: int = 1 << 21, most_bits: int = 28) -> DataFrame:
-    """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases of 2 to ``longest`` words.
+def _counted_at_once(texts: DataFrame, frequent: DataFrame, seed: int, every: int, longest: int, least: int) -> DataFrame:
+    """The frequent phrases with the counts of their parts, by one pass over the texts. every: how many words they have."""
+    spark = texts.sparkSession
+    ids, times = _columns(frequent.select("id", "n"))
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(ids, times.view(np.int64), longest))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), every // (8 * HELD))
+    counted = materialise(counted_phrases(dealt_phrases(texts, seed, vocabulary, parts), vocabulary, parts, longest, least), "collocation-counts")
+    vocabulary.destroy()
+    _hand_back()
+    return _with_parts(counted, longest)
 
-    Null texts are empty; rows without a language are one, ``und``; repeated rows count each; ids and extra columns are
-    not looked at; an empty table gives no rows. A text without breaks is held in memory whole by its task. Ties go by
-    count, then by the phrase in byte order.
-    """
-    if longest < 2 or least < 1:
-        raise ValueError("phrases have two words or more and occur once or more")
-    spark = docs.sparkSession
-    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"))
-    words, seed = identified_words(texts)
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = words.where(F.col("n") >= least)
-    every, known = words.agg(F.sum("n"), F.count_if(F.col("n") >= least)).first()
+
+def _counted_by_slices(texts: DataFrame, frequent: DataFrame, seed: int, every: int, known: int, longest: int, least: int, most_keys: int, most_bits: int) -> DataFrame:
+    """Phrases with the counts of their parts where there are too many words for one broadcast: several passes over the texts."""
+    spark = texts.sparkSession
     usable = spark.sparkContext.broadcast(word_bits(frequent, _log(16 * known, most_bits)))
-    full = full_buckets(texts, seed, usable, longest, min(least, 255), _log((every or 0) // 2, most_bits))
+    full = full_buckets(texts, seed, usable, longest, min(least, 255), _log(every // 2, most_bits))
     filters = spark.sparkContext.broadcast((usable.value, full))
     usable.destroy()
     names = [f"w{j + 1}" for j in range(longest)]
@@ -588,6 +780,28 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         counts.destroy()
         _hand_back()
     filters.destroy()
+    return counted
+
+
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *, longest: int = 3, least: int = 10, inside: int = 50, top: int = 2000, most_keys: int = 1 << 21, most_bits: int = 28) -> DataFrame:
+    """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases of 2 to ``longest`` words.
+
+    Null texts are empty; rows without a language are one, ``und``; repeated rows count each; ids and extra columns are
+    not looked at; an empty table gives no rows. A text without breaks is held in memory whole by its task. Ties go by
+    count, then by the phrase in byte order.
+    """
+    if longest < 2 or least < 1:
+        raise ValueError("phrases have two words or more and occur once or more")
+    spark = docs.sparkSession
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"))
+    words, seed = identified_words(texts)
+    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    frequent = words.where(F.col("n") >= least)
+    every, known = words.agg(F.sum("n"), F.count_if(F.col("n") >= least)).first()
+    if known <= 4 * most_keys:
+        counted = _counted_at_once(texts, frequent, seed, every or 0, longest, least)
+    else:
+        counted = _counted_by_slices(texts, frequent, seed, every, known, longest, least, most_keys, most_bits)
     scored = _scored(counted, longest, least)
     kept = materialise(_without_inner(materialise(scored, "collocation-scores"), longest, inside), "collocation-phrases")
     best = _best_of_each(_named(kept, frequent, longest), top)

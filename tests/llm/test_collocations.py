@@ -120,3 +120,49 @@ def test_query_equals_its_sql(spark):
     want = con.execute(queries.ORACLE_SQL["op11_collocations"]).fetchall()
     got = queries.QUERIES["op11_collocations"](spark, SMALL).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 100
+
+
+def test_texts_are_read_twice_however_many_phrases(spark):
+    rows = documents(5, 60)
+    read = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    frame = spark.createDataFrame(rows, "lang string, text string").repartition(5).mapInArrow(noted, "lang string, text string")
+    got = collocations.collocations(frame, longest=3, least=3, inside=50, top=40, most_keys=20)  # far more candidates than a slice has keys
+    assert sorted(map(tuple, got.collect())) == brute(rows, 3, 3, 50, 40)
+    assert read.value == 2 * len(rows)
+
+
+def test_more_words_than_a_broadcast_holds_are_counted_by_slices(spark, monkeypatch):
+    rows, slices, count = documents(9, 40), [], collocations.count_by_slot
+    monkeypatch.setattr(collocations, "count_by_slot", lambda *given: slices.append(1) or count(*given))
+    got = collocations.collocations(spark.createDataFrame(rows, "lang string, text string"), least=12, top=40, most_keys=6)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 3, 12, 50, 40)
+    assert len(slices) > 1
+
+
+@pytest.mark.parametrize("each", [1, 2, 3, 4])
+def test_phrases_in_columns_of_few_words(spark, each):
+    rows = [(lang or "und", text or "") for lang, text in documents(3, 30)]
+    texts = spark.createDataFrame(rows, "lang string, text string").select("text", "lang")
+    counted, seed = collocations.identified_words(texts)
+    found = {r.id: r for r in counted.where("n >= 5").collect()}
+    own = collocations.Vocabulary(np.array(list(found), np.int64).view(np.uint64), np.array([r.n for r in found.values()]), 4)
+    own.each, own.columns = each, -(-4 // each)
+    vocabulary = spark.sparkContext.broadcast(own)
+    dealt = collocations.dealt_phrases(texts, seed, vocabulary, 7)
+    got = {}
+    for *ids, a, first, last in collocations.counted_phrases(dealt, vocabulary, 7, 4, 5).collect():
+        words = [found[i] for i in ids if i]
+        assert (first, last) == (words[0].n, words[-1].n)
+        got[words[0].lang, tuple(w.word for w in words)] = a
+    want = Counter()
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text.translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            want.update((lang, tuple(w[i : i + k])) for k in range(2, 5) for i in range(len(w) - k + 1))
+    assert got == {p: a for p, a in want.items() if a >= 5}
