@@ -6,7 +6,8 @@ A phrase can be frequent only if each of its parts is (Apriori), and it takes tw
 2. tasks send the phrases of frequent words, as numbers side by side in 64-bit keys with how often they had them, each to
    the task that its hash names. That task counts them in hashed buckets; the phrases of full buckets are the candidates,
    and every frequent phrase is one. They get a minimal perfect hash, and are counted by slot in a numpy array, each key
-   being compared with the stored one. The number of such tasks follows the number of words.
+   being compared with the stored one. There are as many such tasks as shuffle partitions, or one for
+   some 4 million phrases if that is more.
 
 The counts of a phrase's parts of several words are found by joins with the counted phrases, those of words by their number.
 
@@ -515,7 +516,7 @@ def dealt_phrases(texts: DataFrame, seed: int, vocabulary: Broadcast, parts: int
             rows = []
             for k in np.flatnonzero(np.diff(bounds)).tolist():
                 a, b = bounds[k], bounds[k + 1]
-                rows.append((k, b"".join(c[a:b].tobytes() for c in columns), times[a:b].astype(np.min_scalar_type(times[a:b].max())).tobytes()))
+                rows.append((k, b"".join(_steps(c[a:b]) for c in columns), times[a:b].astype(np.min_scalar_type(times[a:b].max())).tobytes()))
                 if len(rows) == 64 or b == len(times):
                     yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "keys", "counts"])
                     rows = []
@@ -535,6 +536,16 @@ def dealt_phrases(texts: DataFrame, seed: int, vocabulary: Broadcast, parts: int
     return texts.mapInArrow(lean(find), _DEALT)
 
 
+def _steps(column: np.ndarray) -> bytes:
+    """The steps between sorted keys, all their lowest bytes first, all their highest last: the shuffle packs these better."""
+    return np.diff(column, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _of_steps(raw: bytes, columns: int) -> np.ndarray:
+    steps = np.frombuffer(raw, np.uint8).reshape(columns, 8, -1).transpose(0, 2, 1)
+    return np.cumsum(np.ascontiguousarray(steps).view(np.uint64)[:, :, 0], axis=1, dtype=np.uint64)
+
+
 def _part(prints: np.ndarray, parts: int) -> np.ndarray:
     """By the high half of a fingerprint."""
     return (((prints >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
@@ -551,7 +562,7 @@ def counted_phrases(dealt: DataFrame, vocabulary: Broadcast, parts: int, longest
         held_times: list[np.ndarray] = []
         for batch in batches:
             for keys, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                held.append(np.frombuffer(keys, np.uint64).reshape(own.columns, -1))
+                held.append(_of_steps(keys, own.columns))
                 held_times.append(np.frombuffer(counts, f"<u{len(counts) // held[-1].shape[1]}").astype(np.int64))
         if not held:
             return
@@ -754,7 +765,7 @@ def _counted_at_once(texts: DataFrame, frequent: DataFrame, seed: int, every: in
     spark = texts.sparkSession
     ids, times = _columns(frequent.select("id", "n"))
     vocabulary = spark.sparkContext.broadcast(Vocabulary(ids, times.view(np.int64), longest))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), every // (8 * HELD))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), every * (longest - 1) // (16 * HELD))
     counted = materialise(counted_phrases(dealt_phrases(texts, seed, vocabulary, parts), vocabulary, parts, longest, least), "collocation-counts")
     vocabulary.destroy()
     _hand_back()
